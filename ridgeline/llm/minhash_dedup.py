@@ -274,3 +274,23 @@ def near_duplicates(
         .select("doc_id", "n_shingles", own.alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
+
+
+def keep_one(
+    docs: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """``docs`` with one row of each group of near copies, with all its columns.
+
+    The document of the smallest id stays. Blank texts and rows of a null id all stay. Of
+    repeated rows of one id, one stays (any of them, should they differ). An empty table
+    gives an empty result.
+    """
+    found = materialize(near_duplicates(docs, percent, width, id_col, text_col))
+    ids = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_or("kept").alias("kept"))
+    odd = materialize(ids.where("n > 1 or not kept"))
+    # Only rows of a repeated id need to meet, so texts of the others stay where they are.
+    key = F.col(id_col).cast("long")
+    plain = docs.join(odd, key == odd["doc_id"], "left_anti")
+    again = odd.where("kept")
+    one = docs.join(again, key == again["doc_id"], "left_semi").dropDuplicates([id_col])
+    return plain.unionByName(one)

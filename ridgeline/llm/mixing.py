@@ -107,3 +107,42 @@ def mix(
         "target",
         (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"),
     )
+
+
+def mixed_rows(
+    docs: DataFrame,
+    weights: DataFrame,
+    seed: int = 1,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+) -> DataFrame:
+    """The mix itself: rows of ``docs``, all columns, each as often as the mix takes it.
+
+    A row that is taken in part has its text cut after that many words; a row of which the
+    mix takes nothing (so every row without words) has no row. Other cases are as in ``mix``.
+    """
+    key = ["_doc", "_size", "_source"]
+    taken = mix(docs, weights, seed, id_col, text_col, source_col).where("taken > 0")
+    taken = taken.select(F.col("doc_id").alias("_doc"), F.col("size").alias("_size"), F.col("source").alias("_source"), "taken")
+    taken = taken.withColumn("_nth", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("taken"))))
+    text = F.col(text_col)
+    rows = docs.select(
+        F.struct(*docs.columns).alias("row"),
+        F.col(id_col).cast("long").alias("_doc"),
+        F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("_size"),
+        F.col(source_col).alias("_source"),
+    ).where("_size > 0")
+    # Rows of one id, size and source are dealt in order of their texts, on the join's own keys.
+    rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy(*key).orderBy(F.col(f"row.{text_col}"))))
+    same = [rows[k].eqNullSafe(taken[k]) for k in ["_doc", "_source"]]
+    met = rows.join(taken, [*same, rows["_size"] == taken["_size"], rows["_nth"] == taken["_nth"]])
+    met = met.select("row", "taken", rows["_size"].alias("_size"))
+    times = F.array_repeat(F.col("_size"), F.floor(F.col("taken") / F.col("_size")).cast("int"))
+    part = F.filter(F.array(F.col("taken") % F.col("_size")), lambda x: x > 0)
+    each = met.select("row", "_size", F.explode(F.concat(times, part)).alias("words"))
+    text = F.col(f"row.{text_col}")
+    pieces = F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    cut = F.array_join(F.slice(pieces, F.lit(1), F.col("words").cast("int")), "")
+    whole = F.when(F.col("words") == F.col("_size"), text).otherwise(cut)
+    return each.select(*(whole.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
