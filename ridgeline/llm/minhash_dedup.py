@@ -287,10 +287,9 @@ def keep_one(
     """
     found = materialize(near_duplicates(docs, percent, width, id_col, text_col))
     ids = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_or("kept").alias("kept"))
-    odd = materialize(ids.where("n > 1 or not kept"))
+    odd = materialize(ids.where("n > 1 or not kept").withColumnRenamed("doc_id", "_odd"))
     # Only rows of a repeated id need to meet, so texts of the others stay where they are.
-    key = F.col(id_col).cast("long")
-    plain = docs.join(odd, key == odd["doc_id"], "left_anti")
-    again = odd.where("kept")
-    one = docs.join(again, key == again["doc_id"], "left_semi").dropDuplicates([id_col])
+    same = F.col(id_col).cast("long") == F.col("_odd")
+    plain = docs.join(odd, same, "left_anti")
+    one = docs.join(odd.where("kept"), same, "left_semi").dropDuplicates([id_col])
     return plain.unionByName(one)
