@@ -1,13 +1,46 @@
-"""Registry of the library's queries and their DuckDB equivalents."""
+"""Registry of the library's queries and their DuckDB equivalents.
+
+A query applies an operator to the tables of a data folder. Tables without geographic or
+ride data stand in for them: see ``plans``.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
 FLAGSHIP = "category_search"
 
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a function of ``(spark, sf_dir)`` under its name, with its SQL."""
+
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _load() -> None:
+    from .plans import graphs, places, relational, rides, search  # noqa: F401
+
 
-def queries():
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
+    return dict(_QUERIES)
 
 
-def oracle_sql():
-    return {}
+def oracle_sql() -> dict[str, str]:
+    _load()
+    return dict(_ORACLES)
