@@ -15,18 +15,14 @@ from pyspark.sql import functions as F
 
 DATE = "2024-01-01T00:00:00Z"
 END = "\r\n\r\n"
-#: Fixed values: (pattern, replacement) from HTML to text, in this order.
+#: Entities and their characters, in this order; and (pattern, replacement) from
+#: HTML to text, with the entities after the fourth.
+ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
 STEPS = (
     (r"(?is)<(?:script|style)\b.*?</(?:script|style)\s*>", " "),
     (r"(?s)<!--.*?-->", " "),
     (r"(?i)</?(?:p|div|h[1-6]|li|ul|ol|br|tr|td|table|section|article|header|footer|nav|title)\b[^>]*>", "\n"),
     (r"<[^>]*>", ""),
-    (r"&nbsp;", " "),
-    (r"&lt;", "<"),
-    (r"&gt;", ">"),
-    (r"&quot;", '"'),
-    (r"&#39;", "'"),
-    (r"&amp;", "&"),
     (r"[ \t\r\f]+", " "),
     (r" ?\n[ \n]*", "\n"),
     (r"^[ \n]+|[ \n]+$", ""),
@@ -34,7 +30,11 @@ STEPS = (
 
 
 def plain_text(html: Column) -> Column:
-    for pattern, to in STEPS:
+    for pattern, to in STEPS[:4]:
+        html = F.regexp_replace(html, pattern, to)
+    for entity, to in ENTITIES:
+        html = F.replace(html, F.lit(entity), F.lit(to))
+    for pattern, to in STEPS[4:]:
         html = F.regexp_replace(html, pattern, to)
     return html
 
