@@ -95,6 +95,12 @@ def test_closed_roads_and_unreachable_places(spark):
     assert {(r.node, r.cost) for r in graph.shortest_paths(edges, sources).collect()} == {(1, 0), (2, 3), (3, 1)}
 
 
+def test_landmarks_are_far_apart(spark):
+    line = [(i, i + 1, 1) for i in range(6)] + [(i + 1, i, 1) for i in range(6)]
+    got = graph.landmarks(spark.createDataFrame(line, "src long, dst long, cost long"), spark.createDataFrame([(2,)], "source long"), 2)
+    assert {(r.landmark, r.node, r.cost) for r in got.collect()} == {(a, n, abs(a - n)) for a in (6, 0) for n in range(7)}
+
+
 def test_dead_band_books_a_move_of_exactly_its_size(spark):
     df = spark.createDataFrame([([10.0, 12.9, 13.0, None, 10.0, 10.5],), ([],), ([None],)], "v array<double>")
     got = [(r.b.up, r.b.down) for r in df.select(series.dead_band(F.col("v"), 3.0).alias("b")).collect()]
