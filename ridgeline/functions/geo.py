@@ -17,6 +17,11 @@ def flat_distance(lon1, lat1, lon2, lat2) -> Column:
     return FLAT_RADIUS * F.sqrt(x * x + y * y)
 
 
+def planar(a: Column, b: Column) -> Column:
+    """Distance of two points (structs ``x, y``) in a plane."""
+    return F.hypot(b["x"] - a["x"], b["y"] - a["y"])
+
+
 def haversine(lon1, lat1, lon2, lat2) -> Column:
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2)
     b = F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
