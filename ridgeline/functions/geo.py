@@ -22,6 +22,12 @@ def planar(a: Column, b: Column) -> Column:
     return F.hypot(b["x"] - a["x"], b["y"] - a["y"])
 
 
+def segments(points: Column) -> Column:
+    """Neighbours of a line as structs ``a, b``; none for fewer than two points."""
+    n = F.greatest(F.size(points) - 1, F.lit(0))
+    return F.zip_with(F.slice(points, F.lit(1), n), F.slice(points, F.lit(2), n), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+
+
 def haversine(lon1, lat1, lon2, lat2) -> Column:
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2)
     b = F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
@@ -89,3 +95,43 @@ def inside(x: Column, y: Column, ring: Column) -> Column:
 
     hits = F.size(F.filter(edges, crosses))
     return F.exists(edges, border) | (hits % 2 == 1)
+
+
+def ring_measures(ring: Column) -> Column:
+    """Struct ``area, x, y`` of a ring (array of structs ``x, y``): signed area and centre of mass.
+
+    Without area, the centre is the first corner.
+    """
+    n = F.size(ring)
+    pairs = F.transform(ring, lambda a, i: F.struct(a.alias("a"), F.get(ring, F.pmod(i + 1, n)).alias("b")))
+    zero = F.lit(0.0)
+
+    def step(s: Column, e: Column) -> Column:
+        a, b = e["a"], e["b"]
+        cross = a["x"] * b["y"] - b["x"] * a["y"]
+        return F.struct(
+            (s["area"] + cross / 2).alias("area"), (s["x"] + (a["x"] + b["x"]) * cross).alias("x"), (s["y"] + (a["y"] + b["y"]) * cross).alias("y")
+        )
+
+    def centre(s: Column) -> Column:
+        six = F.nullif(6 * s["area"], zero)
+        first = F.get(ring, F.lit(0))
+        return F.struct(s["area"].alias("area"), F.coalesce(s["x"] / six, first["x"]).alias("x"), F.coalesce(s["y"] / six, first["y"]).alias("y"))
+
+    return F.aggregate(pairs, F.struct(zero.alias("area"), zero.alias("x"), zero.alias("y")), step, centre)
+
+
+def enters_box(line: Column, west: float, south: float, east: float, north: float) -> Column:
+    """Whether any segment of a line (array of structs ``x, y``) touches a box.
+
+    It does if their boxes overlap and the box's corners are not all on one side of it.
+    """
+
+    def touches(s: Column) -> Column:
+        a, b = s["a"], s["b"]
+        overlap = (F.greatest(a["x"], b["x"]) >= west) & (F.least(a["x"], b["x"]) <= east) & (F.greatest(a["y"], b["y"]) >= south) & (F.least(a["y"], b["y"]) <= north)
+        side = lambda x, y: F.signum((b["x"] - a["x"]) * (y - a["y"]) - (b["y"] - a["y"]) * (x - a["x"]))
+        sides = [side(x, y) for x in (west, east) for y in (south, north)]
+        return overlap & (F.least(*sides) <= 0) & (F.greatest(*sides) >= 0)
+
+    return F.exists(segments(line), touches)

@@ -14,8 +14,8 @@ from ..functions.store import cut
 
 def segments(lines: DataFrame) -> DataFrame:
     """``id, n, a, b`` of each line's segments in order."""
-    pairs = F.zip_with(F.slice("points", F.lit(1), F.size("points") - 1), F.slice("points", F.lit(2), F.size("points") - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    return lines.where(F.size("points") > 1).select("id", F.posexplode(pairs).alias("n", "s")).select("id", "n", "s.a", "s.b")
+    each = F.posexplode(geo.segments(F.col("points"))).alias("n", "s")
+    return lines.select("id", each).select("id", "n", "s.a", "s.b")
 
 
 def weighted_vertices(lines: DataFrame) -> DataFrame:

@@ -100,3 +100,50 @@ def spaced(df: DataFrame, same: list[str], radius: float, rank: list[Column]) ->
         open_ = open_.join(lost, "worse", "left_anti").join(lost.withColumnRenamed("worse", "better"), "better", "left_anti")
         open_ = cut(open_)
     return df if gone is None else df.join(gone.withColumnRenamed("worse", "id"), "id", "left_anti")
+
+
+def pyramid(leaf: DataFrame, zoom: int) -> DataFrame:
+    """``z, x, y, v, snow`` of tiles of ``zoom`` and all their parents.
+
+    A parent has the mean of its known children and the flag that most of them have. Each
+    level aggregates the one below, so a level is four times smaller than the last.
+    """
+    level = leaf.select(F.lit(zoom).alias("z"), "x", "y", "v", "snow")
+    out = level
+    for z in range(zoom - 1, -1, -1):
+        up = level.groupBy(F.shiftright("x", 1).alias("x"), F.shiftright("y", 1).alias("y"))
+        level = up.agg(F.avg("v").alias("v"), (F.count_if("snow") * 2 > F.count("*")).alias("snow")).select(F.lit(z).alias("z"), "x", "y", "v", "snow")
+        out = out.unionByName(level)
+    return out
+
+
+def bilinear(corners: DataFrame, asked: DataFrame) -> DataFrame:
+    """``id, height`` of asked places (``id, x, y`` in cells) between corners ``i, j, h``.
+
+    The form of a corner and slopes keeps a flat surface exact. One missing corner makes null.
+    """
+    at = asked.withColumn("_i", F.floor("x")).withColumn("_j", F.floor("y"))
+    offsets = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1))))
+    each = at.withColumn("_o", offsets).withColumn("i", F.col("_i") + F.col("_o.a")).withColumn("j", F.col("_j") + F.col("_o.b"))
+    met = each.join(corners, ["i", "j"], "left").groupBy("id", "x", "y", "_i", "_j")
+    h = {(a, b): F.max(F.when((F.col("_o.a") == a) & (F.col("_o.b") == b), F.col("h"))) for a in (0, 1) for b in (0, 1)}
+    got = met.agg(*(c.alias(f"h{a}{b}") for (a, b), c in h.items()))
+    u, v = F.col("x") - F.col("_i"), F.col("y") - F.col("_j")
+    height = F.col("h00") + (F.col("h10") - F.col("h00")) * u + (F.col("h01") - F.col("h00")) * v + (F.col("h00") - F.col("h10") - F.col("h01") + F.col("h11")) * u * v
+    return got.select("id", height.alias("height"))
+
+
+def quadtree(points: DataFrame, depth: int, most: int) -> DataFrame:
+    """``level, x, y, n``: the largest squares with at most ``most`` rows, the least ones with more.
+
+    ``points`` has whole ``x, y`` below ``2 ** depth``; a square of a level is ``2 ** level``
+    wide. Counts of all levels come from those of the least squares.
+    """
+    unit = points.groupBy("x", "y").agg(F.count("*").alias("n"))
+    every = unit.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(depth))))
+    wide = lambda c: F.expr(f"shiftright({c}, level)").alias(c)
+    counts = every.groupBy("level", wide("x"), wide("y")).agg(F.sum("n").alias("n"))
+    up = counts.select((F.col("level") - 1).alias("level"), F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("n").alias("_n"))
+    on = ["level", "_x", "_y"]
+    at = counts.withColumns({"_x": F.shiftright("x", 1), "_y": F.shiftright("y", 1)}).join(up, on, "left")
+    return at.where(((F.col("n") <= most) | (F.col("level") == 0)) & (F.col("_n").isNull() | (F.col("_n") > most))).select("level", "x", "y", "n")

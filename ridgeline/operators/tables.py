@@ -101,3 +101,38 @@ def nice_step(df: DataFrame, value: str, bars: int = 16) -> DataFrame:
     low = F.pow(F.lit(10.0), F.floor(F.log10(F.col("p90") / bars)))
     choices = F.array(*(low * m for m in (1, 2, 5, 10)))
     return p.withColumn("step", F.array_min(F.filter(choices, lambda s: s * bars >= F.col("p90"))))
+
+
+def merged_manifests(a: DataFrame, b: DataFrame, key: str, values: list[str]) -> DataFrame:
+    """All keys of both, values of ``a`` first, and ``conflict`` where both know different ones."""
+    other = b.withColumnsRenamed({v: f"_{v}" for v in values})
+    both = a.join(other, key, "full")
+    differs = F.lit(False)
+    for v in values:
+        differs = differs | F.coalesce(F.col(v) != F.col(f"_{v}"), F.lit(False))
+    return both.select(key, *(F.coalesce(v, f"_{v}").alias(v) for v in values), differs.alias("conflict"))
+
+
+def open_states(hours: DataFrame, asked: DataFrame) -> DataFrame:
+    """``id, day, minute, state`` of asked times: open, closed, or unknown without any hours.
+
+    ``hours`` has ``id, day, start, end`` in minutes; an end beyond 1440 lies on the next day.
+    """
+    late = hours.where("end > 1440").select("id", F.pmod(F.col("day") + 1, F.lit(7)).alias("day"), F.lit(0).alias("start"), (F.col("end") - 1440).alias("end"))
+    every = hours.unionByName(late).groupBy("id", "day").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    known = hours.select("id").distinct().withColumn("known", F.lit(True))
+    at = asked.join(every, ["id", "day"], "left").join(known, "id", "left")
+    held = F.exists("spans", lambda s: (F.col("minute") >= s["start"]) & (F.col("minute") < s["end"]))
+    return at.select("id", "day", "minute", F.when(F.col("known").isNull(), "unknown").when(held, "open").otherwise("closed").alias("state"))
+
+
+def branches(df: DataFrame, key: str, limits: dict[str, int], tests: dict[str, Column], order: list[Column]) -> DataFrame:
+    """``key, branch, found``: rows of several branches, each with its own limit in one order.
+
+    A limit for each keeps one branch from crowding out the others.
+    """
+    out = None
+    for name, test in tests.items():
+        some = df.where(test).orderBy(*order).limit(limits[name]).select(key, F.lit(name).alias("branch"))
+        out = some if out is None else out.unionByName(some)
+    return out.groupBy(key).agg(F.min("branch").alias("branch"), F.count("*").alias("found"))
