@@ -52,3 +52,45 @@ def write_cells(df: DataFrame, path: str, cell: str = "cell") -> None:
 def write_rides(df: DataFrame, path: str) -> None:
     """Samples as CSV with a header."""
     df.write.option("header", True).mode("errorifexists").csv(path)
+
+
+def read_inserts(spark: SparkSession, path: str, table: str, columns: list[str]) -> DataFrame:
+    """Rows of ``INSERT INTO`` lines of an SQL dump, as strings by column name; NULL is null.
+
+    A dump has one statement a line. Quotes may hold commas, brackets and escaped quotes.
+    Lines of other tables are skipped; codecs are Spark's.
+    """
+    head = f"^INSERT INTO `?{table}`? (?:\\([^)]*\\) )?VALUES "
+    lines = spark.read.text(path).where(F.col("value").rlike(head))
+    field = r"'(?:[^'\\]|\\.|'')*'|[^,()']+"
+    tuples = F.regexp_extract_all(F.regexp_replace("value", head, ""), F.lit(rf"\(((?:{field})(?:,(?:{field}))*)\)"), 1)
+    values = F.regexp_extract_all(F.col("t"), F.lit(f"({field})"), 1)
+    plain = lambda v: F.when(v == "NULL", None).when(
+        v.startswith("'"), F.regexp_replace(F.replace(F.substring(v, F.lit(2), F.length(v) - 2), F.lit("''"), F.lit("'")), r"\\(.)", "$1")
+    ).otherwise(F.trim(v))
+    rows = lines.select(F.explode(tuples).alias("t")).select(F.transform(values, plain).alias("v"))
+    return rows.select(*(F.get("v", F.lit(k)).alias(c) for k, c in enumerate(columns)))
+
+
+def write_gpx(df: DataFrame, path: str, key: str, order: str) -> None:
+    """One GPX document a ride, as lines of text under a folder of its ``key``.
+
+    ``df`` has ``lat, lon`` and may have ``ele``. A ride's points stay in order.
+    """
+    ele = F.when(F.col("ele").isNotNull(), F.concat(F.lit("<ele>"), F.col("ele").cast("string"), F.lit("</ele>"))) if "ele" in df.columns else F.lit(None)
+    point = F.format_string('<trkpt lat="%s" lon="%s">%s</trkpt>', F.col("lat").cast("string"), F.col("lon").cast("string"), F.coalesce(ele, F.lit("")))
+    start, end = '<gpx version="1.1" creator="ridgeline" xmlns="http://www.topografix.com/GPX/1/1"><trk><trkseg>', "</trkseg></trk></gpx>"
+    points = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), point.alias("p"))))
+    text = F.concat(F.lit(start), F.array_join(F.transform(points, lambda x: x["p"]), "\n"), F.lit(end))
+    df.groupBy(key).agg(text.alias("value")).write.partitionBy(key).mode("errorifexists").text(path)
+
+
+def write_package(df: DataFrame, path: str, kind: str) -> DataFrame:
+    """Write a table once and return its counts by ``kind``, read back from what was written."""
+    df.write.mode("errorifexists").parquet(path)
+    return df.sparkSession.read.parquet(path).groupBy(kind).agg(F.count("*").alias("rows"))
+
+
+def replace_partitions(df: DataFrame, path: str, by: str) -> None:
+    """Replace the partitions that ``df`` has rows of; others stay."""
+    df.write.option("partitionOverwriteMode", "dynamic").partitionBy(by).mode("overwrite").parquet(path)
