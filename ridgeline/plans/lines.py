@@ -1,5 +1,5 @@
-"""Queries on lines and on rows along them. Every vector stands for a line of six points whose
-family its id gives; events of a user stand for places along a way, orders for rides."""
+"""Queries on lines and on rows along them. Twelve vectors stand for a family of lines of six
+points, so that more vectors cover more land; events of a user stand for places along a way, orders for rides."""
 
 from __future__ import annotations
 
@@ -14,8 +14,8 @@ from .graphs import ROADS, roads
 from .rides import SAMPLES, samples
 
 #: Lines in metres, their vertices with weights, their segments, and the cover of one by another.
-POINTS = """select vec_id as id, k as n, (vec_id % 40 * 700 % 5000 + k * 200 + vec_id * 37 % 120)::double as x,
-    (vec_id % 40 * 911 % 4000 + vec_id * 53 % 90 + k * k * 10)::double as y from embeddings, range(6) r(k)"""
+POINTS = """select vec_id as id, k as n, (vec_id // 12 * 700 % 70000 + k * 200 + vec_id * 37 % 120)::double as x,
+    (vec_id // 12 * 911 % 40000 + vec_id * 53 % 90 + k * k * 10)::double as y from embeddings, range(6) r(k)"""
 COVER = f"""p as ({POINTS}), s as (select id, x as ax, y as ay, lead(x) over w as qx, lead(y) over w as qy, lag(x) over w as px, lag(y) over w as py
     from p window w as (partition by id order by n)),
 v as (select id, ax as x, ay as y, (coalesce(sqrt((qx - ax) ** 2 + (qy - ay) ** 2), 0) + coalesce(sqrt((px - ax) ** 2 + (py - ay) ** 2), 0)) / 2 as w from s),
@@ -27,11 +27,11 @@ c as (select id, other, sum(w) / (select sum(w) from v where v.id = h.id) as sha
 
 def lines(spark, d):
     """Lines; those of odd numbers run backwards, which makes no difference to their cover."""
-    i = F.col("vec_id")
+    i, family = F.col("vec_id"), F.expr("vec_id div 12")
 
     def point(k):
-        x = i % 40 * 700 % 5000 + k * 200 + i * 37 % 120
-        y = i % 40 * 911 % 4000 + i * 53 % 90 + k * k * 10
+        x = family * 700 % 70000 + k * 200 + i * 37 % 120
+        y = family * 911 % 40000 + i * 53 % 90 + k * k * 10
         return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
 
     points = F.transform(F.sequence(F.lit(0), F.lit(5)), point)
