@@ -115,7 +115,7 @@ def tokenizer(path: str) -> WordTokenizer:
 
 
 class Packer:
-    """Packs pieces of one task; ``out`` collects (doc, start, length, crc, tokens, sequence, offset)."""
+    """Packs pieces of one task; ``out`` collects (doc, start, length, ids, crc, tokens, sequence, offset)."""
 
     def __init__(self, capacity: int, first: int):
         self.capacity, self.next = capacity, first
@@ -138,8 +138,8 @@ class Packer:
                 self.round(self.left // self.capacity)
 
     def place(self, doc, ids: bytes, n: int, s: int, length: int, sequence: int, offset: int) -> None:
-        crc = zlib.crc32(ids[4 * s : 4 * (s + length)])
-        self.out.append((doc, s, length, crc, n, sequence, offset))
+        piece = ids[4 * s : 4 * (s + length)]
+        self.out.append((doc, s, length, piece, zlib.crc32(piece), n, sequence, offset))
 
     def round(self, count: int) -> None:
         """Fill ``count`` sequences; pieces beyond their room stay for the next round."""
@@ -169,14 +169,16 @@ class Packer:
         return out
 
 
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+SCHEMA = "doc_id long, start long, length long, ids array<int>, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 def _packed(path: str, capacity: int):
     def table(rows: list[tuple]) -> pa.RecordBatch:
         names = [c.split()[0] for c in SCHEMA.split(", ")]
-        columns = list(zip(*rows)) or [()] * len(names)
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
+        columns = dict(zip(names, list(zip(*rows)) or [()] * len(names)))
+        ends = np.cumsum([0, *columns["length"]], dtype="<i4")
+        ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(columns["ids"]), "<i4")))
+        return pa.RecordBatch.from_arrays([ids if k == "ids" else pa.array(c, pa.int64()) for k, c in columns.items()], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, packer = tokenizer(path), Packer(capacity, TaskContext.get().partitionId() << 33)
@@ -197,7 +199,9 @@ def _packed(path: str, capacity: int):
 def pack(
     docs: DataFrame, path: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """One row for each piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``.
+    """One row for each piece: ``doc_id, start, length, ids, ids_crc32, doc_tokens, sequence_id, offset``.
+
+    ``ids`` are the piece's tokens; those of a sequence in order of ``offset`` are its training text.
 
     A document is the ids of its text by the tokenizer at ``path`` and then id 1; a null or
     empty text is that id alone. Every row is packed, also repeated rows and rows of a null

@@ -45,7 +45,10 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard_by_bytes(table(spark, sf_dir, "documents"), 16)
+    rows = sharding.shard_by_bytes(table(spark, sf_dir, "documents"), 16)
+    text = F.coalesce("row.text", F.lit(""))
+    digests = {"doc_id": F.col("row.doc_id"), "size": F.octet_length(text).cast("long") + 1, "text_crc32": F.crc32(text)}
+    return rows.withColumns(digests).drop("row")
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +75,7 @@ def op9_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")).drop("ids")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

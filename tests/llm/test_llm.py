@@ -141,6 +141,14 @@ def test_shards_awkward_rows(docs):
     assert by == {(i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t, *_ in ROWS}
 
 
+def test_shards_keep_whole_rows(docs):
+    got = sharding.shard_by_bytes(docs, 4)
+    assert sorted(map(str, got.select("row.*").collect())) == sorted(map(str, docs.collect()))
+    for r in got.collect():
+        text = (r.row.text or "").encode()
+        assert (r.doc_id, r.size, r.text_crc32) == (r.row.doc_id, len(text) + 1, zlib.crc32(text))
+
+
 def test_mix_targets_and_reruns(docs, spark):
     weights = mixing.quality_weight(spark.createDataFrame([(1, 1), (2, 0), (2, 1), (None, 1), (3, None)], "doc_id long, quality int"))
     assert {(r.doc_id, r.weight) for r in weights.collect()} == {(1, 2.0), (2, 2.0)}
@@ -255,6 +263,20 @@ def test_mined_url_rules_equal_brute_force(spark):
     assert {r.page_id for r in got.where("verdict = 'block'").collect()} == want
 
 
+def test_packing_keeps_ids(spark, docs):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(TOKENS)
+    rows = docs.select("doc_id", "text").where("doc_id is not null").dropDuplicates(["doc_id"])
+    pieces = packing.pack(rows, TOKENS).collect()
+    for r in rows.collect():
+        mine = sorted((p.start, p.ids) for p in pieces if p.doc_id == r.doc_id)
+        assert [x for _, ids in mine for x in ids] == [*tok.encode(r.text or "", add_special_tokens=False).ids, 1]
+    assert all(len(p.ids) == p.length for p in pieces)
+    packed = corpus_pipeline.pack(spark, rows, SMALL)
+    assert sum(len(p.ids) for p in packed.collect()) == sum(len(p.ids) for p in pieces)
+
+
 def test_warc_records_and_files(spark, tmp_path):
     html = "<html lang=\"fr\"><title>A &amp; B</title><script>x<y</script><p>one</p><p>two\r\n\r\nthree</p><a href='x'>é</a>"
     pages = spark.createDataFrame([(1, "http://a/", html), (2, None, None), (None, "u", "")], "page_id long, url string, html string")
