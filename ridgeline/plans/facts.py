@@ -79,6 +79,17 @@ def manifest_merge(spark, d):
     return op.merged_manifests(c, s, "id", ["nation"])
 
 
+@query("""
+select coalesce(c_custkey, s_suppkey) as id, coalesce(c_nationkey, s_nationkey) as nation, coalesce(c_nationkey <> s_nationkey, false) as conflict
+from customer full join supplier on c_custkey = s_suppkey
+""")
+def whole_manifest_merge(spark, d):
+    """All customers and all suppliers as one manifest."""
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("nation"))
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("nation"))
+    return op.merged_manifests(c, s, "id", ["nation"])
+
+
 @query("""
 with h as (select c_custkey as id, day, c_custkey % 5 * 60 + 480 as a, c_custkey % 5 * 60 + 480 + (c_custkey * 37 % 19 + 1) * 60 as b from customer, range(7) r(day)
     where c_custkey % 11 <> 0 and (c_custkey + day) % 6 <> 0),

@@ -10,7 +10,7 @@ from ..catalog import query, table
 from ..operators import graph
 from ..operators import lines as op
 from ..operators import series
-from .graphs import ROADS, roads
+from .graphs import ROADS, every_road, roads
 from .rides import SAMPLES, samples
 
 #: Lines in metres, their vertices with weights, their segments, and the cover of one by another.
@@ -252,3 +252,8 @@ select id, min(other) as chain from r group by 1
 def line_chains(spark, d):
     """Roads joined to chains at nodes where just two meet."""
     return graph.chains(roads(spark, d).withColumn("kind", F.lit(1)), "kind")
+
+
+@query(None)
+def whole_line_chains(spark, d):
+    return graph.chains(every_road(spark, d).withColumn("kind", F.lit(1)), "kind")

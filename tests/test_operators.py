@@ -149,3 +149,66 @@ def test_page_says_whether_there_is_more(spark):
 def test_merged_ranges_join_where_they_touch(spark):
     df = spark.createDataFrame([(1, 0, 5), (1, 5, 7), (1, 8, 9), (1, 1, 2)], "k long, a long, b long")
     assert sorted((r.a, r.b) for r in series.merged_ranges(df, ["k"], "a", "b").collect()) == [(0, 7), (8, 9)]
+
+
+def test_whole_graph_queries_take_all_rows(spark):
+    queries = __spark_entry__.queries()
+    parts = spark.read.parquet(f"{SMALL}/part.parquet").collect()
+    roads = {}
+    for r in spark.read.parquet(f"{SMALL}/lineitem.parquet").collect():
+        k = r.l_partkey, (r.l_partkey * 31 + r.l_suppkey * 7) % len(parts)
+        roads.setdefault(k, []).append(int(r.l_quantity))
+    roads = {(a, b): (a * len(parts) + b, min(v)) for (a, b), v in roads.items()}
+    out, both = {}, {}
+    for a, b in roads:
+        out.setdefault(a, []).append(b)
+        both.setdefault(a, set()).add(b)
+        both.setdefault(b, set()).add(a)
+
+    def reached(start, ways):
+        seen, todo = {start}, [start]
+        while todo:
+            new = set(ways.get(todo.pop(), ())) - seen
+            seen |= new
+            todo += new
+        return seen
+
+    def costs(start):
+        cost, todo = {start: 0}, [start]
+        while todo:
+            a = todo.pop(0)
+            for b in out.get(a, ()):
+                if cost[a] + roads[a, b][1] < cost.get(b, 1 << 60):
+                    cost[b] = cost[a] + roads[a, b][1]
+                    todo.append(b)
+        return cost
+
+    def steps(start):
+        depth, new = {start: 0}, [start]
+        for k in range(1, 4):
+            new = {b for a in new for b in out.get(a, ())} - depth.keys()
+            depth |= dict.fromkeys(new, k)
+        return depth
+
+    def got(name):
+        rows = [tuple(r) for r in queries[name](spark, SMALL).collect()]
+        assert len(rows) == len(set(rows))
+        return set(rows)
+
+    seeds = [p.p_partkey for p in parts if p.p_size == 50]
+    assert seeds
+    assert got("whole_components") == {(n, min(reached(n, both))) for n in both if both[n] - {n}}
+    far = {n: reached(n, out) for n in both}
+    assert got("whole_strong_components") == {(n, min(m for m in far[n] if n in far[m])) for n in both}
+    assert got("whole_shortest_paths") == {(s, n, c) for s in seeds for n, c in costs(s).items()}
+    assert got("whole_bounded_traversal") == {(s, n, k) for s in seeds for n, k in steps(s).items()}
+    assert got("whole_road_successors") == {(i, roads[b, c][0]) for (a, b), (i, _) in roads.items() for c in out.get(b, ()) if c != a}
+    assert got("whole_profile_costs") == {
+        x for i, c in roads.values() for x in [(i, "walk", 3 * c), (i, "bike", c + 10 if i % 5 else None), (i, "mtb", c * (1 + i % 3))]
+    }
+    assert {r[0] for r in got("whole_line_chains")} == {i for i, _ in roads.values()}
+    marks = got("landmark_distances")
+    assert marks == {(m, n, c) for m in {r[0] for r in marks} for n, c in costs(m).items()}
+    manifest = {n: {r[0]: r[1] for r in spark.read.parquet(f"{SMALL}/{n}.parquet").select(*c).collect()} for n, c in (("customer", ("c_custkey", "c_nationkey")), ("supplier", ("s_suppkey", "s_nationkey")))}
+    c, s = manifest["customer"], manifest["supplier"]
+    assert got("whole_manifest_merge") == {(k, c.get(k, s.get(k)), k in c and k in s and c[k] != s[k]) for k in c.keys() | s.keys()}
