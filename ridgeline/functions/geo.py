@@ -11,8 +11,9 @@ METRES_PER_DEGREE = 111_195.0
 
 
 def flat_distance(lon1, lat1, lon2, lat2) -> Column:
-    """Equirectangular distance at the mean latitude."""
-    x = F.radians(lon2 - lon1) * F.cos(F.radians((lat1 + lat2) / 2))
+    """Equirectangular distance at the mean latitude, the short way round."""
+    apart = F.abs(lon2 - lon1) % 360
+    x = F.radians(F.least(apart, 360 - apart)) * F.cos(F.radians((lat1 + lat2) / 2))
     y = F.radians(lat2 - lat1)
     return FLAT_RADIUS * F.sqrt(x * x + y * y)
 

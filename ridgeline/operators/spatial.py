@@ -1,8 +1,9 @@
 """Spatial joins by cells: an equal join on grid cells, then the exact test.
 
-The cell's side is the search radius, so a point meets only its own and the eight cells
-around it. Distances are equirectangular metres; longitudes shrink with latitude, so cells
-are widened by the cosine of the largest latitude of interest.
+A cell is as high as the search radius, and its row of latitude sets how wide it is: the
+rows above and below are cut by the widths of their own, and a point is filed there under
+all cells that the radius can reach. Longitudes go round, so cells meet at 180 degrees.
+Distances are equirectangular metres.
 """
 
 from __future__ import annotations
@@ -16,16 +17,28 @@ from ..functions import geo
 from ..functions.store import cut
 
 
-def cells(df: DataFrame, radius: float, spread: bool, lon: str = "lon", lat: str = "lat", top: float = 60.0) -> DataFrame:
-    """Adds the cell ``cx, cy``; with ``spread``, a row for each of the nine cells around."""
+def cells(df: DataFrame, radius: float, spread: bool, lon: str = "lon", lat: str = "lat") -> DataFrame:
+    """Adds the cell ``cx, cy``; with ``spread``, a row for each cell that ``radius`` reaches.
+
+    A row of cells is cut into as many parts of the circle as are no narrower than the radius
+    at its end next to the equator. The reach is taken at the end of the three rows next to
+    the pole, where it is widest; near a pole it is the whole circle, of few cells there.
+    """
     side = radius / geo.METRES_PER_DEGREE * 1.001
-    wide = side / math.cos(math.radians(top))
-    df = df.withColumn("cx", F.floor(F.col(lon) / wide)).withColumn("cy", F.floor(F.col(lat) / side))
-    if spread:
-        off = F.array(*(F.lit(k) for k in (-1, 0, 1)))
-        df = df.withColumn("_i", F.explode(off)).withColumn("_j", F.explode(off))
-        df = df.withColumn("cx", F.col("cx") + F.col("_i")).withColumn("cy", F.col("cy") + F.col("_j")).drop("_i", "_j")
-    return df
+    row = lambda k: F.least(F.abs(k), F.abs(k + 1)) * side
+    parts = lambda k: F.greatest(F.floor(F.cos(F.radians(F.least(row(k), F.lit(90.0)))) * (360 / side)), F.lit(1))
+    turn = F.col(lon) / 360 - F.floor(F.col(lon) / 360)
+    df = df.withColumn("cy", F.floor(F.col(lat) / side))
+    if not spread:
+        n = parts(F.col("cy"))
+        return df.withColumn("cx", F.least(F.floor(turn * n), n - 1))
+    # Two points whose mean latitude is m are side / cos(m) of longitude apart at most.
+    mean = F.least(F.abs(F.col(lat)) + side / 2, F.lit(90.0))
+    reach = F.least(F.lit(side) / F.greatest(F.cos(F.radians(mean)), F.lit(1e-9)) / 360, F.lit(0.5))
+    df = df.withColumns({"_t": turn, "_r": reach, "cy": F.explode(F.sequence(F.col("cy") - 1, F.col("cy") + 1))}).withColumn("_n", parts(F.col("cy")))
+    low, high = F.floor((F.col("_t") - F.col("_r")) * F.col("_n")), F.floor((F.col("_t") + F.col("_r")) * F.col("_n"))
+    high = F.least(high, low + F.col("_n") - 1)
+    return df.withColumn("cx", F.explode(F.sequence(low, high))).withColumn("cx", F.pmod("cx", "_n")).drop("_t", "_r", "_n")
 
 
 def near_pairs(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:

@@ -42,6 +42,26 @@ def test_near_pairs_equal_brute_force_after_any_repartition(spark):
         assert got == want
 
 
+@pytest.mark.parametrize(("lon", "lat"), [(10, 65), (10, -72), (180, 0), (-180, 80), (0, 89.99), (30, -89.99), (180, 47)])
+def test_near_pairs_at_high_latitudes_and_across_180_degrees(spark, lon, lat):
+    r, wide = random.Random(8), 0.04 / math.cos(math.radians(lat))
+    rows = [(i, (lon + r.uniform(-wide, wide) + 180) % 360 - 180, lat + r.uniform(-0.01, 0.01) * (abs(lat) < 89.9)) for i in range(150)]
+
+    def short(a, b):
+        d = abs(a[1] - b[1]) % 360
+        return metres((0, 0, a[2]), (0, min(d, 360 - d), b[2]))
+
+    want = sorted((a[0], b[0]) for a in rows for b in rows if short(a, b) <= 1000)
+    df = frame(spark, rows)
+    assert sorted((r.left_id, r.right_id) for r in spatial.near_pairs(df, df, 1000.0).collect()) == want
+    kept = []
+    for p in rows:
+        if all(short(p, k) > 1000 for k in kept):
+            kept.append(p)
+    got = spatial.spaced(df.withColumn("kind", F.lit(1)), ["kind"], 1000.0, [F.col("id")])
+    assert {r.id for r in got.collect()} == {p[0] for p in kept}
+
+
 def test_spaced_equals_the_greedy_order(spark):
     rows, kept = points(150, 5), []
     for p in rows:
