@@ -10,14 +10,19 @@ record, and so through any store and with its commit protocol.
 
 from __future__ import annotations
 
+import html as markup
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+from ._store import small_batches
 
 DATE = "2024-01-01T00:00:00Z"
 END = "\r\n\r\n"
-#: Entities and their characters, in this order; and (pattern, replacement) from
-#: HTML to text, with the entities after the fourth.
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
+#: Fixed values: (pattern, replacement) from HTML to text, with the entities after the fourth.
 STEPS = (
     (r"(?is)<(?:script|style)\b.*?</(?:script|style)\s*>", " "),
     (r"(?s)<!--.*?-->", " "),
@@ -29,11 +34,27 @@ STEPS = (
 )
 
 
+def _decoded(text: str) -> str:
+    """All named and numeric entities, decoded once; a no-break space as a space."""
+    return markup.unescape(text.replace("&nbsp;", " ")) if "&" in text else text
+
+
+@F.pandas_udf(StringType())
+def decoded(texts: pd.Series) -> pd.Series:
+    return texts.map(_decoded, na_action="ignore")
+
+
+@F.pandas_udf(StringType())
+def outlinks(targets: pd.Series) -> pd.Series:
+    """A line for each target, in order."""
+    line = lambda t: "outlink: " + re.sub(r"[\t\r\n]", "", _decoded(t.strip("\"'"))).strip() + "\r\n"
+    return targets.map(lambda ts: "".join(map(line, ts)))
+
+
 def plain_text(html: Column) -> Column:
     for pattern, to in STEPS[:4]:
         html = F.regexp_replace(html, pattern, to)
-    for entity, to in ENTITIES:
-        html = F.replace(html, F.lit(entity), F.lit(to))
+    html = decoded(html)
     for pattern, to in STEPS[4:]:
         html = F.regexp_replace(html, pattern, to)
     return html
@@ -105,7 +126,9 @@ def derive(source: DataFrame) -> DataFrame:
     line out. Repeated rows give repeated records of the same identifiers; an empty table
     gives an empty result; other columns are ignored.
     """
+    small_batches(source.sparkSession)
     html = F.coalesce("payload", F.lit(""))
+    targets = F.regexp_extract_all(html, F.lit(r"(?i)<a\s[^>]*?\bhref=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']*)"), F.lit(1))
     first = lambda pattern: F.regexp_extract(html, pattern, 1)
     named = [
         ("title", plain_text(first(r"(?is)<title[^>]*>(.*?)</title"))),
@@ -115,7 +138,7 @@ def derive(source: DataFrame) -> DataFrame:
         ("source-payload-digest", digest(html)),
         ("source-http-headers", F.regexp_replace(F.coalesce("http_headers", F.lit("")), r"\r\n", " | ")),
     ]
-    fields = F.concat(*(F.concat(F.lit(f"{k}: "), v, F.lit("\r\n")) for k, v in named))
+    fields = F.concat(*(F.concat(F.lit(f"{k}: "), v, F.lit("\r\n")) for k, v in named), outlinks(targets))
     made = [("metadata", "application/warc-fields", fields), ("conversion", "text/plain; charset=utf-8", plain_text(html))]
     records = [F.struct(F.lit(k).alias("kind"), F.lit(c).alias("content"), b.alias("block")) for k, c, b in made]
     rows = source.select(

@@ -300,6 +300,18 @@ def test_warc_records_and_files(spark, tmp_path):
     assert found == 9
 
 
+def test_warc_decodes_all_entities_once_and_keeps_links(spark):
+    html = (
+        "<html><title>Caf&eacute; &#8217;&#xE9;</title><p>&copy;&middot;&nbsp;&amp;lt; &amp;copy; &lt;b&gt; &#39;&quot;</p>"
+        "<a href=\"/a?x=1&amp;y=2\">1</a><a class='c' href='/b&#10;'>2</a><a href=/c>3</a>"
+    )
+    source = warc.responses(spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string"))
+    got = {r.warc_type: r.block for r in warc.derive(source).collect()}
+    assert got["conversion"] == "Café ’é\n©· &lt; &copy; <b> '\"\n123"
+    assert got["metadata"].startswith("title: Café ’é\r\n") and "outlinks: 3\r\n" in got["metadata"]
+    assert got["metadata"].endswith("outlink: /a?x=1&y=2\r\noutlink: /b\r\noutlink: /c\r\n")
+
+
 def test_empty_tables(spark, docs, tmp_path):
     none = docs.limit(0)
     labels = spark.createDataFrame([], "doc_id long, quality int")
