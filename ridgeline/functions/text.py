@@ -78,3 +78,16 @@ def edits(a: pd.Series, b: pd.Series, most: pd.Series) -> pd.Series:
 def edit_budget(text: Column) -> Column:
     """Edits that a word may differ by: none below five letters, one below eight, else two."""
     return F.when(F.length(text) < 5, 0).when(F.length(text) < 8, 1).otherwise(2)
+
+
+def shortened(name: str, most: Column) -> Column:
+    """The text and all that is left of it without up to ``most`` letters, two at most."""
+
+    def less(c: Column) -> Column:
+        cut = lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.length(c)))
+        return F.when(F.length(c) > 0, F.transform(F.sequence(F.lit(1), F.length(c)), cut)).otherwise(F.array().cast("array<string>"))
+
+    text, none = F.col(name), F.array().cast("array<string>")
+    one = F.when(most >= 1, less(text)).otherwise(none)
+    two = F.when(most >= 2, F.flatten(F.transform(less(text), less))).otherwise(none)
+    return F.array_distinct(F.concat(F.array(text), one, two))

@@ -43,13 +43,14 @@ def all_words(queries: DataFrame, terms: DataFrame) -> DataFrame:
 def corrections(queries: DataFrame, lexicon_: DataFrame, most: int = 8) -> DataFrame:
     """``query, term, edits`` of the lexicon's terms within the budget of edits, the nearest ``most``.
 
-    A term is a candidate when it shares a run of three letters, or, since a swap can break
-    all runs of a short word, a run of two with the same first letter.
+    A term is a candidate when it and the query become the same by leaving out letters of
+    each, at most as many as the budget. Every edit leaves out at most one of either, so no term is missed.
     """
     budget = fn.edit_budget(F.col("query"))
-    keys = lambda c: F.concat(fn.grams(c, 3), F.transform(fn.grams(c, 2), lambda g: F.concat(F.substring(c, 1, 1), F.lit(":"), g)))
-    asked = queries.select("query", budget.alias("budget"), F.explode(keys(F.col("query"))).alias("key"))
-    held = lexicon_.select("term", F.explode(keys(F.col("term"))).alias("key"))
+    asked = queries.select("query", budget.alias("budget"), F.explode(fn.shortened("query", budget)).alias("key"))
+    # The longest query that may reach the term has the largest budget.
+    reach = F.when(F.length("term") < 4, 0).when(F.length("term") < 6, 1).otherwise(2)
+    held = lexicon_.select("term", F.explode(fn.shortened("term", reach)).alias("key"))
     near = F.abs(F.length("query") - F.length("term")) <= F.col("budget")
     pairs = asked.join(held, "key").where(near).select("query", "term", "budget").distinct()
     found = pairs.withColumn("edits", fn.edits("query", "term", "budget")).where("edits <= budget")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from ridgeline.functions import geo
 from ridgeline.functions import text as fn
-from ridgeline.operators import graph, series, spatial, tables
+from ridgeline.operators import graph, search, series, spatial, tables
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -90,6 +90,24 @@ def test_edit_distance_counts_a_swap_once(spark):
     assert [r[0] for r in df.select(fn.edits("a", "b", "m")).collect()] == [1, 3, 3, None]
 
 
+def test_corrections_find_all_variants_within_the_budget(spark):
+    def variants(t):
+        for i in range(len(t) + 1):
+            yield t[:i] + "z" + t[i:]
+            if i < len(t):
+                yield t[:i] + t[i + 1 :]
+                yield t[:i] + "z" + t[i + 1 :]
+            if i + 1 < len(t):
+                yield t[:i] + t[i + 1] + t[i] + t[i + 2 :]
+
+    terms = ["abcdefgh", "stuvw", "klmnop"]
+    asked = {"bacdfegh", *terms} | {x for t in terms for v in variants(t) for x in (v, *variants(v))}
+    want = {(q, t, d) for q in asked for t in terms if (d := fn._damerau(q, t, 2)) <= (0 if len(q) < 5 else 1 if len(q) < 8 else 2)}
+    assert ("bacdfegh", "abcdefgh", 2) in want
+    got = search.corrections(spark.createDataFrame([(q,) for q in asked], "query string"), spark.createDataFrame([(t,) for t in terms], "term string"))
+    assert {(r.query, r.term, r.edits) for r in got.collect()} == want
+
+
 def test_normal_form(spark):
     df = spark.createDataFrame([("Straße  Él-Niño",), (None,), ("",)], "t string")
     assert [r[0] for r in df.select(fn.normal(F.col("t"))).collect()] == ["strasse el nino", None, ""]
