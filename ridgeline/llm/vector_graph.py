@@ -1,19 +1,22 @@
 """Approximate nearest neighbours by robust-pruned directed graphs.
 
-Vectors are dealt to shards of bounded size. In each shard, points enter the graph in
-growing batches: a greedy beam search from the medoid proposes the points it expands, and
-relaxed distance pruning keeps a point only if no kept neighbour is nearer to it by the
-factor alpha, so short and long edges stay. Reverse edges are added and overfull lists are
-pruned again. A query is searched by beam in every shard, the beams are scored on the
+Vectors are dealt to shards of near ones by a tree of balanced cuts, fitted on a bounded
+sample. In each shard, points enter the graph in growing batches: a greedy beam search from
+the medoid proposes the points it expands, and relaxed distance pruning keeps a point only
+if no kept neighbour is nearer to it by the factor alpha, so short and long edges stay.
+Reverse edges are added and overfull lists are pruned again. A query goes to the shards that
+lie nearest, as many as held the neighbours of sample rows; there the beam is scored on the
 original vectors in double precision, and the shards' best are merged.
 
-Exact copies are one point of the graph that carries the smallest of its ids.
+Points of one direction (positive multiples, up to rounding) are one node of the graph, and
+all its members are scored; so pruning at distance 0 separates nothing.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -23,14 +26,80 @@ from pyspark.sql import functions as F
 from ._store import materialize
 from ._vectors import cosine, groups_of, matrix, unit, usable, width
 
-SHARD, QUERY_BLOCK = 4096, 512
-DEGREE, BUILD_BEAM, SEARCH_BEAM, ALPHA = 32, 64, 160, 1.2
+#: Points of a shard, most leaves of the tree (shards grow beyond), queries of a block.
+SHARD, LEAVES, QUERY_BLOCK = 16_384, 4096, 2048
+DEGREE, BUILD_BEAM, SEARCH_BEAM, ALPHA = 32, 96, 80, 1.1
 #: Points of a beam expanded together.
 AT_ONCE = 4
+#: Most rows, and bytes of them, that the tree and the number of probes are fitted on.
+SAMPLE, SAMPLE_BYTES = 65_536, 64 << 20
+#: Share of the sample's true neighbours that the probed leaves hold.
+COVERED = 0.99
+
+
+@dataclass
+class Tree:
+    """Balanced cuts of unit vectors; ``children`` below 0 are leaves, ``-1 - number``."""
+
+    planes: np.ndarray
+    cuts: np.ndarray
+    children: np.ndarray
+    centres: np.ndarray
+    probes: int = 1
+
+    def leaf(self, u: np.ndarray) -> np.ndarray:
+        at = np.zeros(len(u), np.int64) if len(self.cuts) else np.full(len(u), -1)
+        while (inner := np.flatnonzero(at >= 0)).size:
+            node = at[inner]
+            right = np.einsum("ij,ij->i", u[inner], self.planes[node]) > self.cuts[node]
+            at[inner] = self.children[node, right.astype(int)]
+        return -1 - at
+
+    def nearest(self, u: np.ndarray, most: int) -> np.ndarray:
+        """The leaves of the nearest centres, nearest first."""
+        return np.argsort(-(u @ self.centres.T), 1, kind="stable")[:, :most]
+
+
+def fit_tree(u: np.ndarray, leaves: int, k: int) -> Tree:
+    """Cut the sample ``u`` in halves at the median of its widest direction, and choose the probes.
+
+    ``probes`` is the least number of nearest leaves that hold ``COVERED`` of the ``k``
+    nearest of up to 256 rows within the sample: few where the data have clusters, about all
+    where they have none.
+    """
+    planes, cuts, children, centres = [], [], [], []
+
+    def grow(rows: np.ndarray, want: int) -> int:
+        x = u[rows]
+        if want > 1 and len(rows) > 1:
+            plane = np.linalg.eigh(np.cov(x.T, bias=True).reshape(x.shape[1], -1))[1][:, -1]
+            along = x @ plane
+            cut = float(np.quantile(along, (want // 2) / want))
+            low = along <= cut
+            if low.any() and not low.all():
+                n = len(cuts)
+                planes.append(plane), cuts.append(cut), children.append([0, 0])
+                children[n] = [grow(rows[low], want // 2), grow(rows[~low], want - want // 2)]
+                return n
+        centres.append(x.mean(0) if len(x) else np.zeros(u.shape[1]))
+        return -len(centres)
+
+    grow(np.arange(len(u)), leaves)
+    dim = u.shape[1]
+    tree = Tree(np.array(planes).reshape(-1, dim), np.array(cuts), np.array(children, int).reshape(-1, 2), np.array(centres))
+    if len(centres) > 1:
+        q = np.linspace(0, len(u) - 1, min(256, len(u))).astype(int)
+        near = u[q] @ u.T
+        near[np.arange(len(q)), q] = -2
+        top = np.argsort(-near, 1)[:, : min(k, len(u) - 1)]
+        rank = np.argsort(tree.nearest(u[q], len(centres)), 1)
+        held = np.sort(np.take_along_axis(rank, tree.leaf(u)[top], 1).ravel())
+        tree.probes = int(held[math.ceil(COVERED * len(held)) - 1]) + 1 if len(held) else len(centres)
+    return tree
 
 
 def beam_search(x, graph, start: int, q, beam: int, trace: bool = False):
-    """Row numbers and squared distances of each query's beam, nearest first.
+    """Row numbers and squared distances of each query's beam, nearest first, and the points seen.
 
     With ``trace``, of all expanded points instead (-1 where there are fewer).
     """
@@ -70,8 +139,8 @@ def beam_search(x, graph, start: int, q, beam: int, trace: bool = False):
         done[live] = np.take_along_axis(np.hstack([flags, d == np.inf]), keep, 1)
         live = live[~done[live].all(1)]
     if trace:
-        return np.hstack(steps_ids), np.hstack(steps_far)
-    return ids, far
+        return np.hstack(steps_ids), np.hstack(steps_far), seen.sum(1)
+    return ids, far, seen.sum(1)
 
 
 def robust_prune(x, cand, far, degree: int, alpha: float):
@@ -105,7 +174,7 @@ def build_graph(x, degree: int = DEGREE, beam: int = BUILD_BEAM, alpha: float =
     while at < len(order):
         batch = order[at : at + min(256, max(8, at // 2))]
         at += len(batch)
-        cand, far = beam_search(x, graph, start, x[batch], beam, trace=True)
+        cand, far, _ = beam_search(x, graph, start, x[batch], beam, trace=True)
         far[cand == batch[:, None]] = np.inf
         graph[batch] = robust_prune(x, cand, far, degree, alpha)
         _reverse(x, graph, batch, alpha)
@@ -134,66 +203,104 @@ def _reverse(x, graph, batch, alpha: float) -> None:
         graph[h] = robust_prune(x, c, np.where(c < 0, np.inf, far), degree, alpha)
 
 
-def _packed(dim: int, kind: str, with_graph: bool):
+def directions(u: np.ndarray) -> np.ndarray:
+    """For each unit vector the number of its direction, by first row; rounding is overlooked."""
+    axis = np.random.default_rng(3).normal(size=u.shape[1])
+    order = np.argsort(u @ axis, kind="stable")
+    apart = np.abs(np.diff(u[order], axis=0)).max(1, initial=0) > 1e-6
+    group = np.empty(len(u), np.int64)
+    group[order] = np.concatenate([[0], np.cumsum(apart)])
+    first = np.full(group.max() + 1, len(u))
+    np.minimum.at(first, group, np.arange(len(u)))
+    rank = np.empty(len(first), np.int64)
+    rank[np.argsort(first)] = np.arange(len(first))
+    return rank[group]
+
+
+def _run(first: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """The numbers ``first[i] ... first[i] + many[i] - 1`` of all i in a row."""
+    return np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())
+
+
+def _lists(column) -> tuple[np.ndarray, np.ndarray]:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return np.asarray(column.flatten(), np.int64), np.diff(column.offsets.to_numpy()).astype(np.int64)
+
+
+def _indexed(dim: int, kind: str):
+    """A row for each shard: vectors by direction, their ids, and the graph of the directions."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, t in groups_of(batches, "shard"):
-            x = matrix(t.column("vec"), dim, kind)
-            ids = t.column("ids").combine_chunks()
-            data = [x, np.asarray(ids.flatten(), np.int64), np.diff(ids.offsets.to_numpy()).astype(np.int64)]
-            if with_graph:
-                graph, start = build_graph(unit(x.astype(np.float64)).astype(np.float32))
-                data += [graph.astype(np.int32), np.array([start])]
+            x, (ids, sizes) = matrix(t.column("vec"), dim, kind), _lists(t.column("ids"))
+            u = unit(x.astype(np.float64))
+            group = directions(u)
+            order = np.argsort(group, kind="stable")
+            members = np.bincount(group)
+            graph, start = build_graph(u[order[np.cumsum(members) - members]].astype(np.float32))
+            ids = ids[_run((np.cumsum(sizes) - sizes)[order], sizes[order])]
+            data = [x[order], ids, sizes[order], members, graph.astype(np.int32), np.array([start])]
+            names = ["vecs", "ids", "sizes", "members", "graph", "start"]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([shard], pa.int64())] + [pa.array([d.tobytes()], pa.binary()) for d in data],
-                ["shard", "vecs", "ids", "sizes", "graph", "start"][: len(data) + 1],
+                [pa.array([shard], pa.int64())] + [pa.array([d.tobytes()], pa.binary()) for d in data], ["shard", *names]
             )
 
     return run
 
 
-def _blocks(vectors: DataFrame, shards: int, dim: int, kind: str, with_graph: bool) -> DataFrame:
-    """Vectors ``(vec, ids)`` dealt by hash to ``shards`` rows."""
-    deal = F.pmod(F.xxhash64(F.col("ids")[0], F.lit(11)), F.lit(shards))
-    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    columns = "shard long, vecs binary, ids binary, sizes binary"
-    return materialize(
-        vectors.select(deal.alias("shard"), "vec", "ids")
-        .repartition(parts, "shard")
-        .sortWithinPartitions("shard", F.col("ids")[0])
-        .mapInArrow(_packed(dim, kind, with_graph), columns + ", graph binary, start binary" * with_graph)
-    )
+def _blocks(dim: int, kind: str):
+    """A row for each block of queries of a shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, t in groups_of(batches, "shard"):
+            for n in range(0, t.num_rows, QUERY_BLOCK):
+                s = t.slice(n, QUERY_BLOCK)
+                data = [matrix(s.column("vec"), dim, kind), s.column("vec_id").to_numpy()]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([shard], pa.int64())] + [pa.array([d.tobytes()], pa.binary()) for d in data], ["shard", "q_vecs", "q_ids"]
+                )
+
+    return run
 
 
 def _searched(dim: int, kind: str, k: int, beam: int):
+    beam = max(beam, 2 * k + 2)
+
+    def best(x, ids, sizes, first, members, graph, start, u, q, qids):
+        got, far, seen = beam_search(u, graph, start, unit(q.astype(np.float64)).astype(np.float32), beam)
+        held = np.where(got >= 0, members[got], 0)
+        # All directions up to k + 1 members count, and some more for the rounding of distances.
+        enough = (np.cumsum(held, 1) <= k).sum(1) + 16
+        row, col = np.nonzero((got >= 0) & (np.arange(got.shape[1]) < enough[:, None]))
+        at = got[row, col]
+        row, at = np.repeat(row, members[at]), _run((np.cumsum(members) - members)[at], members[at])
+        score = np.concatenate([np.zeros(0), *(cosine(q[row[n : n + 100_000]], x[at[n : n + 100_000]]) for n in range(0, len(row), 100_000))])
+        many = sizes[at]
+        row, score, found = np.repeat(row, many), np.repeat(score, many), ids[_run(first[at], many)]
+        other = found != qids[row]
+        row, score, found = row[other], score[other], found[other]
+        order = np.lexsort((found, -score, row))
+        row, score, found = row[order], score[order], found[order]
+        nth = np.arange(len(row)) - np.searchsorted(row, row)
+        top = nth < k
+        # What the search of this shard cost stands on the first row of each query.
+        cost = np.where(nth[top] == 0, seen[row[top]], 0)
+        return qids[row[top]], found[top], score[top], cost
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
                 x = np.frombuffer(r["vecs"], kind).reshape(-1, dim)
-                ids, sizes = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["sizes"], np.int64)
-                first = np.cumsum(sizes) - sizes
-                graph = np.frombuffer(r["graph"], np.int32).reshape(len(x), -1).astype(np.int64)
-                start = int(np.frombuffer(r["start"], np.int64)[0])
-                q = np.frombuffer(r["q_vecs"], kind).reshape(-1, dim)
-                qids = np.frombuffer(r["q_ids"], np.int64)
-                unit_x = unit(x.astype(np.float64)).astype(np.float32)
-                unit_q = unit(q.astype(np.float64)).astype(np.float32)
-                got, _ = beam_search(unit_x, graph, start, unit_q, max(beam, 2 * k + 2))
-                row, col = np.nonzero(got >= 0)
-                at = got[row, col]
-                score = cosine(q[row], x[at])
-                many = sizes[at]
-                row, score = np.repeat(row, many), np.repeat(score, many)
-                found = ids[np.repeat(first[at], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
-                other = found != qids[row]
-                row, score, found = row[other], score[other], found[other]
-                order = np.lexsort((found, -score, row))
-                row, score, found = row[order], score[order], found[order]
-                nth = np.arange(len(row)) - np.searchsorted(row, row)
-                top = nth < k
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(qids[row[top]]), pa.array(found[top]), pa.array(score[top])],
-                    ["query_id", "vec_id", "score"],
-                )
+                ids, sizes, members = (np.frombuffer(r[c], np.int64) for c in ("ids", "sizes", "members"))
+                graph = np.frombuffer(r["graph"], np.int32).reshape(len(members), -1).astype(np.int64)
+                u = unit(x[np.cumsum(members) - members].astype(np.float64)).astype(np.float32)
+                q, qids = np.frombuffer(r["q_vecs"], kind).reshape(-1, dim), np.frombuffer(r["q_ids"], np.int64)
+                start, step = int(np.frombuffer(r["start"], np.int64)[0]), max(1, min(256, (32 << 20) // len(u)))
+                for n in range(0, len(q), step):
+                    found = best(x, ids, sizes, np.cumsum(sizes) - sizes, members, graph, start, u, q[n : n + step], qids[n : n + step])
+                    nodes = np.full(len(found[0]), len(members))
+                    columns = [pa.array(c.astype(t)) for c, t in zip((*found, nodes), ("i8", "i8", "f8", "i8", "i8"))]
+                    yield pa.RecordBatch.from_arrays(columns, ["query_id", "vec_id", "score", "visited", "nodes"])
 
     return run
 
@@ -205,46 +312,87 @@ def nearest(
     beam: int = SEARCH_BEAM,
     id_col: str = "vec_id",
     vec_col: str = "embedding",
+    shard: int = SHARD,
 ) -> DataFrame:
-    """``query_id, rank, vec_id, score``: each query's ``k`` nearest rows by cosine.
+    """``query_id, rank, vec_id, score, visited, searched``: each query's ``k`` nearest rows by cosine.
 
     Queries are the rows of ``vectors`` where ``is_query`` (of column ``vec_id``) holds;
     a query is never its own neighbour. Score is the cosine in double precision; ties go to
-    the smaller id, and fewer than ``k`` other rows give fewer ranks. Rows with a null id,
-    and vectors that are null, empty, zero or hold a null or non-finite component take no
-    part. Vectors of different lengths compare as if padded with zeros. A repeated row (same
-    id and vector) counts once. An empty table gives an empty result; other columns are
-    ignored. Neighbours are approximate: see the README for the measured recall.
+    the smaller id, and fewer than ``k`` other rows give fewer ranks. ``visited`` counts the
+    distances that the query computed, ``searched`` the nodes of the shards it went to.
+    Rows with a null id, and vectors that are null, empty, zero or hold a null or non-finite
+    component take no part. Vectors of different lengths compare as if padded with zeros. A
+    repeated row (same id and vector) counts once; rows of one id with different vectors are
+    each searched and found, under one query. An empty table gives an empty result; other
+    columns are ignored. Neighbours are approximate: see the README for the measured recall.
+
+    A leaf of over twice ``shard`` points (many of one direction) is dealt by hash to parts
+    that are all searched. Vectors are arrays of bounded length, so a shard fits a task.
     """
+    spark = vectors.sparkSession
     kind = "<f4" if "float" in dict(vectors.dtypes)[vec_col] else "<f8"
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("vec"))
     good = rows.where(F.col("vec_id").isNotNull() & usable("vec"))
     dim = max(1, width(good, "vec"))
     # Of equal vectors, k + 1 ids are enough: any query takes k besides itself.
     nth = F.dense_rank().over(Window.partitionBy("vec").orderBy("vec_id"))
-    points = (
-        good.withColumn("nth", nth)
-        .where(F.col("nth") <= k + 1)
-        .groupBy("vec")
-        .agg(F.array_sort(F.collect_set("vec_id")).alias("ids"))
-    )
+    points = good.withColumn("nth", nth).where(F.col("nth") <= k + 1).groupBy("vec").agg(F.array_sort(F.collect_set("vec_id")).alias("ids"))
     points = materialize(points)
-    shards = max(1, math.ceil(points.count() / SHARD))
-    index = _blocks(points, shards, dim, kind, True)
-    asked = materialize(good.where(is_query).select("vec", F.array("vec_id").alias("ids")).distinct())
-    blocks = max(1, math.ceil(asked.count() / QUERY_BLOCK))
-    queries = _blocks(asked, blocks, dim, kind, False).select(
-        F.col("vecs").alias("q_vecs"),
-        F.col("ids").alias("q_ids"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"),
+    leaves = min(LEAVES, max(1, math.ceil(points.count() / shard)))
+    some = min(SAMPLE, max(256, SAMPLE_BYTES // (8 * dim)))
+    # Bounded: the rows of the smallest hashes; one leaf needs no sample.
+    sample = points.select("vec").orderBy(F.xxhash64("vec"), "vec").limit(some if leaves > 1 else 1).toArrow()
+    u = unit(matrix(sample.column("vec"), dim)) if sample.num_rows else np.ones((1, dim))
+    tree = spark.sparkContext.broadcast(fit_tree(u, leaves, k))
+
+    def leaf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield b.append_column("leaf", pa.array(tree.value.leaf(unit(matrix(b.column("vec"), dim))), pa.int64()))
+
+    def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                near = tree.value.nearest(unit(matrix(b.column("vec"), dim)), tree.value.probes)
+                near = pa.array(list(near.astype(np.int64)), pa.list_(pa.int64()))
+                yield b.append_column("leaves", near)
+
+    held = points.schema["vec"].dataType.simpleString()
+    placed = materialize(points.mapInArrow(leaf, f"vec {held}, ids array<bigint>, leaf long"))
+    # At most LEAVES rows.
+    sizes = placed.groupBy("leaf").count().orderBy("leaf").collect()
+    parts = [(r.leaf, max(1, math.ceil(r["count"] / shard)) if r["count"] > 2 * shard else 1) for r in sizes]
+    starts = np.cumsum([0, *(n for _, n in parts)]).tolist()
+    known = spark.createDataFrame([(a, n, s) for (a, n), s in zip(parts, starts)], "leaf long, parts int, first long")
+    deal = F.col("first") + F.pmod(F.xxhash64("vec", F.lit(11)), F.col("parts"))
+    number = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    index = materialize(
+        placed.join(F.broadcast(known), "leaf")
+        .select(deal.alias("shard"), "vec", "ids")
+        .repartition(number, "shard")
+        .sortWithinPartitions("shard", F.col("ids")[0])
+        .mapInArrow(_indexed(dim, kind), "shard long, vecs binary, ids binary, sizes binary, members binary, graph binary, start binary")
+    )
+    asked = good.where(is_query).distinct().mapInArrow(probed, f"vec_id long, vec {held}, leaves array<bigint>")
+    asked = asked.select("vec_id", "vec", F.explode("leaves").alias("leaf")).join(F.broadcast(known), "leaf")
+    each = F.explode(F.sequence(F.col("first"), F.col("first") + F.col("parts") - 1))
+    queries = (
+        asked.select("vec_id", "vec", each.alias("shard"))
+        .repartition(number, "shard", F.pmod("vec_id", F.lit(64)))
+        .sortWithinPartitions("shard", "vec_id")
+        .mapInArrow(_blocks(dim, kind), "shard long, q_vecs binary, q_ids binary")
     )
-    found = queries.join(index, "shard").mapInArrow(
-        _searched(dim, kind, k, beam), "query_id long, vec_id long, score double"
+    found = materialize(
+        queries.join(index, "shard").mapInArrow(
+            _searched(dim, kind, k, beam), "query_id long, vec_id long, score double, visited long, nodes long"
+        )
     )
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    whole = Window.partitionBy("query_id")
+    once = F.when(F.col("visited") > 0, F.col("nodes")).otherwise(0)
+    merged = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"), F.sum("visited").alias("visited"), F.sum(once).alias("nodes"))
     return (
-        materialize(found)
-        .withColumn("rank", F.row_number().over(best))
+        merged.withColumns({"visited": F.sum("visited").over(whole), "searched": F.sum("nodes").over(whole)})
+        .withColumn("rank", F.row_number().over(whole.orderBy(F.desc("score"), "vec_id")))
         .where(F.col("rank") <= k)
-        .select("query_id", "rank", "vec_id", "score")
+        .select("query_id", "rank", "vec_id", "score", "visited", "searched")
     )
