@@ -18,7 +18,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ._store import small_batches
 
 DATE = "2024-01-01T00:00:00Z"
 END = "\r\n\r\n"
@@ -126,7 +125,6 @@ def derive(source: DataFrame) -> DataFrame:
     line out. Repeated rows give repeated records of the same identifiers; an empty table
     gives an empty result; other columns are ignored.
     """
-    small_batches(source.sparkSession)
     html = F.coalesce("payload", F.lit(""))
     targets = F.regexp_extract_all(html, F.lit(r"(?i)<a\s[^>]*?\bhref=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']*)"), F.lit(1))
     first = lambda pattern: F.regexp_extract(html, pattern, 1)
