@@ -1,13 +1,17 @@
 """Embedding near-duplicates by PCA-ordered tiled comparison.
 
-Exact copies collapse to their smallest id. The second-moment matrix of all unit vectors
-(summed in tasks, a few small matrices reach the driver) gives the rotation into principal
-directions. Vectors are cut into tiles along the first direction; tile pairs whose ranges
-of it rule out the threshold are dropped, and every other pair is one unit of work. A unit
-multiplies the leading dimensions, adds the product of the suffix lengths as the bound of
-the rest (Cauchy-Schwarz), and goes on to further dimensions only with pairs that can still
-reach the threshold; survivors are tested on the original vectors in double precision. It
-passes on link counts and a spanning forest, never the pairs.
+Exact copies collapse to one node. The second-moment matrix of all unit vectors (summed in
+tasks, a few small matrices reach the driver) gives the rotation into principal directions.
+Vectors are put in order of a tree of balanced cuts and cut into tiles, and tiles into units;
+pairs of units, and then of tiles, whose boxes in the leading directions lie too far apart
+for the threshold are dropped. A pair of tiles multiplies the leading dimensions, adds the
+product of the suffix lengths as the bound of the rest (Cauchy-Schwarz), and goes on to further
+dimensions only with pairs that can still reach the threshold; survivors are tested on the
+original vectors in double precision. It passes on link counts and a spanning forest, never the
+pairs.
+
+The boxes spare what the data's spread allows: well spread or clustered vectors meet few
+others, and vectors without any structure meet all, which no exact method avoids.
 """
 
 from __future__ import annotations
@@ -22,9 +26,11 @@ from pyspark.sql import functions as F
 
 from ._components import connected_components
 from ._store import materialize
-from ._vectors import cosine, groups_of, matrix, unit, usable, width
+from ._vectors import cosine, matrix, unit, usable, width
+from .vector_graph import LEAVES, SAMPLE, SAMPLE_BYTES, fit_tree
 
-TILE = 4096
+#: Vectors of a tile, most tiles of a unit, and leading directions of a box.
+TILE, TILES, BOX = 2048, 32, 8
 #: Dimensions that each step of the comparison adds.
 STEPS = (16, 16, 32)
 
@@ -60,44 +66,66 @@ def principal(vectors: DataFrame, dim: int) -> np.ndarray:
     return np.linalg.eigh(total)[1][:, ::-1].copy()
 
 
-def _projected(dim: int, first: np.ndarray):
+def _placed(dim: int, turn: np.ndarray, tree):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                at = unit(matrix(b.column("vec"), dim)) @ first
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("rep"), b.column("copies"), b.column("vec"), pa.array(at)],
-                    ["rep", "copies", "vec", "at"],
-                )
+                u = unit(matrix(b.column("vec"), dim))
+                b = b.append_column("leaf", pa.array(tree.value.leaf(u), pa.int64()))
+                yield b.append_column("at", pa.array(u @ turn[:, 0]))
 
     return run
 
 
-def _tiled(dim: int, kind: str, edges: np.ndarray):
-    """Rows of a tile as blocks of at most ``TILE`` vectors."""
+def _units(dim: int, kind: str, turn: np.ndarray, most: int):
+    """A row for each unit: at most ``most`` vectors in order, and their box."""
+
+    def made(rows: pa.Table) -> pa.RecordBatch:
+        x = matrix(rows.column("vec"), dim, kind)
+        z = unit(x.astype(np.float64)) @ turn[:, :BOX]
+        data = [rows.column("node").to_numpy(), rows.column("copies").to_numpy(), x]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([z.min(0).tolist()]), pa.array([z.max(0).tolist()])] + [pa.array([d.tobytes()], pa.binary()) for d in data],
+            ["lo", "hi", "ids", "copies", "vecs"],
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for tile, t in groups_of(batches, "tile"):
-            for n in range(0, t.num_rows, TILE):
-                s = t.slice(n, TILE)
-                at = s.column("at").to_numpy()
-                data = [
-                    s.column("rep").to_numpy().tobytes(),
-                    s.column("copies").to_numpy().tobytes(),
-                    matrix(s.column("vec"), dim, kind).tobytes(),
-                ]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([tile]), pa.array([n]), pa.array([at.min()]), pa.array([at.max()])]
-                    + [pa.array([x], pa.binary()) for x in data],
-                    ["tile", "part", "lo", "hi", "ids", "copies", "vecs"],
-                )
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            held.append(b)
+            if sum(h.num_rows for h in held) >= most:
+                rows = pa.Table.from_batches(held)
+                while rows.num_rows >= most:
+                    yield made(rows.slice(0, most))
+                    rows = rows.slice(most)
+                held = rows.to_batches()
+        if sum(h.num_rows for h in held):
+            yield made(pa.Table.from_batches(held))
 
     return run
 
 
+def _close_units(units: DataFrame, reach: float) -> DataFrame:
+    """``a, b`` with ``a <= b``: units whose boxes are within ``reach``.
+
+    Units meet in bands of the first direction, each as wide as the reach: one side in those
+    that it touches, the other also in those next to them, and a pair counts in its first band.
+    """
+    band = lambda c: F.floor(c / reach)
+    slim = units.select("unit", "lo", "hi")
+    first, last = band(F.col("lo")[0]), band(F.col("hi")[0])
+    a = slim.withColumn("from_a", first).withColumn("band", F.explode(F.sequence(first, last))).withColumnsRenamed({"unit": "a", "lo": "lo_a", "hi": "hi_a"})
+    b = slim.withColumn("from_b", first - 1).withColumn("band", F.explode(F.sequence(first - 1, last + 1))).withColumnsRenamed({"unit": "b", "lo": "lo_b", "hi": "hi_b"})
+    met = a.join(b, "band").where((F.col("a") <= F.col("b")) & (F.col("band") == F.greatest("from_a", "from_b")))
+    gap = lambda p, q: F.zip_with(f"lo_{p}", f"hi_{q}", lambda x, y: F.greatest(x - y, F.lit(0.0)))
+    gaps = F.zip_with(gap("a", "b"), gap("b", "a"), lambda x, y: x * x + y * y)
+    return met.where(F.aggregate(gaps, F.lit(0.0), lambda s, x: s + x) <= reach * reach).select("a", "b")
+
+
 def _compared(dim: int, kind: str, turn: np.ndarray, least: float):
     cuts = np.minimum(np.cumsum(STEPS), dim)
     cuts = sorted({*cuts.tolist(), dim})
+    reach = chord(least)
 
     def read(ids, copies, vecs):
         x = np.frombuffer(vecs, kind).reshape(-1, dim)
@@ -106,8 +134,25 @@ def _compared(dim: int, kind: str, turn: np.ndarray, least: float):
         suffix = np.stack([rest[:, c] if c < dim else np.zeros(len(z)) for c in cuts], 1)
         return np.frombuffer(ids, np.int64), np.frombuffer(copies, np.int64), x, z, suffix
 
+    def tiles(z):
+        """Bounds of the tiles, and their boxes."""
+        at = np.arange(0, len(z), TILE)
+        return at, np.minimum.reduceat(z[:, :BOX], at), np.maximum.reduceat(z[:, :BOX], at)
+
+    def linked(a, b, same: bool):
+        """Row numbers of linked pairs, of all pairs of tiles that lie close enough."""
+        (at_a, lo_a, hi_a), (at_b, lo_b, hi_b) = tiles(a[3]), tiles(b[3])
+        for i, m in enumerate(at_a.tolist()):
+            gap = np.maximum(np.maximum(lo_b - hi_a[i], lo_a[i] - hi_b), 0)
+            for j in np.flatnonzero((gap * gap).sum(1) <= reach * reach).tolist():
+                if same and j < i:
+                    continue
+                n = int(at_b[j])
+                for p, q in pairs([c[m : m + TILE] for c in a], [c[n : n + TILE] for c in b], same and i == j):
+                    yield p + m, q + n
+
     def pairs(a, b, same: bool):
-        """Row numbers of linked pairs, in pieces."""
+        """Row numbers of linked pairs of two tiles, in pieces."""
         (za, sa), (zb, sb) = (a[3], a[4]), (b[3], b[4])
         c = cuts[0]
         right = np.hstack([zb[:, :c], sb[:, :1]]).astype(np.float32).T
@@ -138,7 +183,7 @@ def _compared(dim: int, kind: str, turn: np.ndarray, least: float):
                 ids = np.concatenate([a[0], b[0]])
                 root = np.arange(len(ids))
                 shift = 0 if same else len(a[0])
-                for p, q in pairs(a, b, same):
+                for p, q in linked(a, b, same):
                     na += np.bincount(p, b[1][q], len(na)).astype(np.int64)
                     nb += np.bincount(q, a[1][p], len(nb)).astype(np.int64)
                     root = _joined(root, p, q + shift)
@@ -172,6 +217,11 @@ def _joined(root: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
             root = root[root]
 
 
+def chord(threshold: float) -> float:
+    """How far apart unit vectors of this cosine are, and a bit more for rounding."""
+    return math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-6
+
+
 def near_duplicates(
     vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vec_col: str = "embedding"
 ) -> DataFrame:
@@ -180,89 +230,64 @@ def near_duplicates(
     Two rows link where their cosine in double precision is ``threshold`` or more; copies
     of a vector link too. Null, empty or zero vectors, vectors with a null or non-finite
     component, and rows of a null id link with nothing (a null id has a null component, and
-    its row is kept). Vectors of different lengths compare as if padded with zeros. Rows of
-    one id count as one node. An empty table gives an empty result; other columns are ignored.
+    its row is kept). Vectors of different lengths compare as if padded with zeros. A repeated
+    row (same id and vector) counts once as a link, and each has its row; rows of one id with
+    different vectors are vectors of their own. An empty table gives an empty result; other
+    columns, of any name, are ignored.
     """
     spark = vectors.sparkSession
     kind = "<f4" if "float" in dict(vectors.dtypes)[vec_col] else "<f8"
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("vec"))
     good = rows.where(F.col("vec_id").isNotNull() & usable("vec"))
-    classes = materialize(good.groupBy("vec").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")))
+    each = good.distinct().groupBy("vec").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
+    classes = materialize(each.withColumn("node", F.monotonically_increasing_id()))
     dim, n = width(classes, "vec"), classes.count()
     if not n:
         return rows.select(
-            "vec_id",
-            F.lit(0).cast("long").alias("n_links"),
-            F.col("vec_id").alias("component_id"),
-            F.lit(True).alias("kept"),
+            "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept")
         )
     turn = principal(classes, dim)
-    placed = materialize(
-        classes.select("rep", "copies", "vec").mapInArrow(
-            _projected(dim, turn[:, 0]),
-            f"rep long, copies long, vec {classes.schema['vec'].dataType.simpleString()}, at double",
-        )
-    )
-    tiles = math.ceil(n / TILE)
-    edges = np.array(
-        placed.agg(
-            F.percentile_approx("at", [k / tiles for k in range(1, tiles)], 10 * max(1000, tiles))
-        ).first()[0]
-        if tiles > 1
-        else []
-    )
-    cut = F.lit(0)
-    if len(edges):
-        cut = F.aggregate(
-            F.array(*(F.lit(float(x)) for x in edges)), F.lit(0), lambda s, e: s + (F.col("at") >= e).cast("int")
-        )
+    # The order of the tree comes from a bounded sample: the rows of the smallest hashes.
+    some = min(SAMPLE, max(256, SAMPLE_BYTES // (8 * dim)))
+    sample = unit(matrix(classes.select("vec").orderBy(F.xxhash64("vec"), "vec").limit(some).toArrow().column("vec"), dim))
+    tree = spark.sparkContext.broadcast(fit_tree(sample, min(LEAVES, math.ceil(n / TILE)), 1))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = materialize(
-        placed.select("rep", "copies", "vec", "at", cut.alias("tile"))
-        .repartition(parts, "tile")
-        .sortWithinPartitions("tile", "at", "rep")
-        .mapInArrow(
-            _tiled(dim, kind, edges),
-            "tile long, part long, lo double, hi double, ids binary, copies binary, vecs binary",
-        )
+    # Units as large as leave some pairs of them for each task; at most TILES tiles.
+    sides = max(1, math.floor(math.sqrt(8 * parts)))
+    most = TILE * min(TILES, max(1, math.ceil(n / TILE / sides)))
+    held = classes.schema["vec"].dataType.simpleString()
+    units = materialize(
+        classes.select("node", "copies", "vec")
+        .mapInArrow(_placed(dim, turn, tree), f"node long, copies long, vec {held}, leaf long, at double")
+        .repartitionByRange(max(1, min(parts, math.ceil(n / most))), "leaf", "at", "node")
+        .sortWithinPartitions("leaf", "at", "node")
+        .mapInArrow(_units(dim, kind, turn, most), "lo array<double>, hi array<double>, ids binary, copies binary, vecs binary")
+        .withColumn("unit", F.monotonically_increasing_id())
     )
-    # The ranges of all blocks are one row for each 4,096 vectors.
-    known = blocks.select("tile", "part", "lo", "hi").orderBy("lo", "tile", "part").collect()
-    reach = math.acos(max(-1.0, min(1.0, threshold))) + 1e-9
-    angle = lambda x: math.acos(max(-1.0, min(1.0, x)))
-    pairs = [
-        (a.tile, a.part, b.tile, b.part)
-        for i, a in enumerate(known)
-        for b in known[i:]
-        if angle(a.hi) - angle(b.lo) <= reach
-    ]
-    named = blocks.select(F.concat_ws(":", "tile", "part").alias("a"), "ids", "copies", "vecs")
-    todo = spark.createDataFrame(
-        [(f"{p[0]}:{p[1]}", f"{p[2]}:{p[3]}") for p in pairs], "a string, b string"
-    )
-    other = named.toDF("b", "ids_b", "copies_b", "vecs_b")
+    todo = materialize(_close_units(units, chord(threshold)))
+    own = units.select(F.col("unit").alias("a"), "ids", "copies", "vecs")
+    other = units.select("unit", "ids", "copies", "vecs").toDF("b", "ids_b", "copies_b", "vecs_b")
     found = materialize(
-        todo.join(named, "a")
+        todo.join(own, "a")
         .join(other, "b")
-        .repartition(max(parts, min(len(pairs), 4 * parts)))
+        .repartition(4 * parts, "a", "b")
         .mapInArrow(_compared(dim, kind, turn, threshold), "kind long, x long, y long")
     )
-    counts = found.where("kind = 0").groupBy(F.col("x").alias("rep")).agg(F.sum("y").alias("links"))
-    linked = connected_components(found.where("kind = 1"), "x", "y").withColumnRenamed("node", "rep")
-    named = materialize(
-        classes.join(counts, "rep", "left")
-        .join(linked, "rep", "left")
-        .select(
-            "vec",
-            (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-            F.coalesce("component", "rep").alias("component"),
-        )
+    counts = found.where("kind = 0").groupBy(F.col("x").alias("node")).agg(F.sum("y").alias("links"))
+    linked = connected_components(found.where("kind = 1"), "x", "y").withColumnRenamed("component", "label")
+    group = classes.join(counts, "node", "left").join(linked, "node", "left")
+    group = materialize(
+        group.select("vec", "rep", F.coalesce("label", "node").alias("label"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     )
-    own = F.when(F.col("vec_id").isNotNull(), F.coalesce("component", "vec_id"))
-    ok = F.col("vec_id").isNotNull() & usable("vec")
+    names = group.groupBy("label").agg(F.min("rep").alias("component"))
+    named = materialize(group.join(names, "label").select("vec", "n_links", "component"))
+    mine = F.when(F.col("vec_id").isNotNull(), F.coalesce("component", "vec_id"))
+    # Rows that take no part stand apart, so that they do not meet on one null key.
+    part = rows.withColumn("ok", F.col("vec_id").isNotNull() & usable("vec"))
+    met = part.where("ok").join(named, "vec", "left").select("vec_id", "n_links", "component")
+    rest = part.where("not ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias("component"))
     return (
-        rows.withColumn("vec", F.when(ok, F.col("vec")))
-        .join(named, "vec", "left")
-        .select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), own.alias("component_id"))
+        met.unionByName(rest)
+        .select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), mine.alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
     )
