@@ -5,11 +5,13 @@ Each task tokenises its documents, cuts full sequences off long ones, and packs
 in rounds of about a million tokens: in descending order of cost, a piece goes to the
 cheapest sequence with room for it; where none has room, it is cut to fill the emptiest
 one. A round makes only full sequences and carries what is left over into the next, so at
-most one sequence of a task is padded. Nothing is shuffled.
+most one sequence of a task is padded. Partitions are put together, without a shuffle, until
+tasks have some megabytes of text, so that this one sequence is a small part of them.
 """
 
 from __future__ import annotations
 
+import math
 import os
 import re
 import unicodedata
@@ -22,10 +24,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import small_batches
+from ._store import pieces
 
 #: Tokens that a round packs together, and the words whose ids a worker remembers.
 ROUND, REMEMBERED = 1 << 20, 700_000
+#: Bytes of text that a task has at least, on average: some 500 sequences, of which one is padded.
+TASK_BYTES = 4 << 20
 END = np.array([1], "<u4").tobytes()
 
 
@@ -182,7 +186,7 @@ def _packed(path: str, capacity: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, packer = tokenizer(path), Packer(capacity, TaskContext.get().partitionId() << 33)
-        for b in batches:
+        for b in pieces(batches, "text"):
             docs, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
             for doc, ids in zip(docs, tok.encode([t or "" for t in texts])):
                 packer.add(doc, ids + END)
@@ -206,10 +210,11 @@ def pack(
     A document is the ids of its text by the tokenizer at ``path`` and then id 1; a null or
     empty text is that id alone. Every row is packed, also repeated rows and rows of a null
     id. Every id lies in one piece, sequences hold at most ``capacity`` ids without gaps, and
-    ``sequence_id`` is unique over all tasks. An empty table gives an empty result; other
-    columns are ignored.
+    ``sequence_id`` is unique over all tasks. Texts of any length are packed whole; a task
+    holds the ids of one text and of a round at a time. An empty table gives an empty result;
+    other columns are ignored.
     """
-    small_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        _packed(path, capacity), SCHEMA
-    )
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    # No effect where there are fewer partitions already.
+    return rows.coalesce(max(1, math.ceil(size / TASK_BYTES))).mapInArrow(_packed(path, capacity), SCHEMA)
