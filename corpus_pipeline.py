@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgeline.llm import minhash_dedup, mixing, packing, quality_classifier, secret_ledger
-from ridgeline.llm._store import shared_dir
+from ridgeline.llm._store import new_path, shared_dir, temporary
 from ridgeline.llm.queries import quality_labels, table
 
 #: Documents of a lower score go. Near copies share this many hundredths of their shingles.
@@ -32,8 +32,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with every secret of the text replaced by a mark."""
-    ledger = f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}"
-    clean = secret_ledger.redact(docs, ledger)
+    clean = secret_ledger.redact(docs, new_path(spark, "ledger"))
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
@@ -58,6 +57,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        with temporary(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
     return docs

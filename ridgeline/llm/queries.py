@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import embedding_dedup, minhash_dedup, mixing, packing, quality_classifier, secret_ledger, sharding, url_rules, vector_graph, warc
 from . import sql
-from ._store import shared_dir
+from ._store import new_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,8 +64,10 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ledger = f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}"
-    found = secret_ledger.scan(table(spark, sf_dir, "documents"), ledger)
+    """English documents come as a first revision, and all documents as the next, which scans the rest."""
+    ledger, docs = new_path(spark, "ledger"), table(spark, sf_dir, "documents")
+    secret_ledger.update(docs.where("lang = 'en'"), ledger)
+    found = secret_ledger.scan(docs, ledger)
     count = {k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long") for k in ("assign", "access", "hex")}
     spans = secret_ledger.joined(F.col("spans"))
     return found.select(

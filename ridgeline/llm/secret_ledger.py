@@ -1,17 +1,22 @@
 """Secret scans by an incremental blob ledger (native).
 
-Every version of a text is addressed by its SHA-256. The ledger is a table of the spans
-found in each blob under each version of the rules; a run scans only pairs of blob and rule
-version that it lacks, each blob once however many paths hold it, appends them in one
-commit, and joins the ledger back to all paths.
+Every version of a text is addressed by its SHA-256. The ledger is a folder with the spans found
+in each blob under each version of the rules; a folder beside it, of the same name and
+``-paths``, has the blob of each path in every revision that was scanned. A run appends its paths, scans only
+pairs of blob and rule version that the ledger lacks, each blob once however many paths hold
+it, and joins the findings back to all paths. Runs at the same time may both scan a blob;
+readers count its rows once.
 """
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._store import materialize
+from ._store import unused
 
 #: The kinds in their order, patterns, and the group and least length that count.
 RULES = (
@@ -26,12 +31,45 @@ RULES = (
     ("access", r"AKIA[A-Z0-9]{16,}", 0, 20),
     ("hex", r"[0-9a-f]{24,}", 0, 24),
 )
-RULE_VERSION = 1
-SPANS = "array<struct<start:int,nth:int,kind:string,stop:int>>"
+SPANS = "array<struct<start:int,nth:int,kind:string,stop:int,first:int,last:int>>"
+#: Items of an array that are walked together.
+CHUNK = 256
+
+
+def rule_version(rules=RULES) -> str:
+    """Names a set of rules by their contents, so that other rules never meet its findings."""
+    return hashlib.sha256(repr(tuple(rules)).encode()).hexdigest()[:16]
+
+
+def _walk(items: Column, zero: Column, none: Column, advance, emit) -> Column:
+    """``emit(state, item)`` for each item, where ``advance`` makes the next state; not for empty arrays.
+
+    Appending to an array copies it, so items are walked in chunks, and what is appended to
+    stays short: the work grows with the items, not with their square.
+    """
+    numbers = F.sequence(F.lit(0), F.floor((F.size(items) - 1) / CHUNK).cast("int"))
+    chunks = F.transform(numbers, lambda n: F.slice(items, n * CHUNK + 1, F.lit(CHUNK)))
+    states = F.aggregate(
+        chunks,
+        F.struct(zero.alias("at"), F.slice(F.array(zero), 1, 0).alias("all")),
+        lambda acc, c: F.struct(
+            F.aggregate(c, acc["at"], advance).alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all")
+        ),
+    )["all"]
+    made = F.zip_with(
+        chunks,
+        states,
+        lambda c, state: F.aggregate(
+            c,
+            F.struct(state.alias("at"), none.alias("out")),
+            lambda acc, x: F.struct(advance(acc["at"], x).alias("at"), F.concat(acc["out"], emit(acc["at"], x)).alias("out")),
+        )["out"],
+    )
+    return F.flatten(made)
 
 
 def _spans(text: Column, nth: int, kind: str, pattern: str, group: int, least: int) -> Column:
-    """Spans of a rule's leftmost matches that do not overlap, in code points.
+    """Spans of a rule's leftmost matches that do not overlap, in code points and in bytes.
 
     The pieces between the matches (``split``) and the matches give the places.
     """
@@ -40,16 +78,22 @@ def _spans(text: Column, nth: int, kind: str, pattern: str, group: int, least: i
     pairs = F.zip_with(found, F.slice(between, F.lit(1), F.size(found)), lambda m, b: F.struct(m.alias("m"), b.alias("b")))
     none = F.from_json(F.lit("[]"), SPANS)
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["b"])
-        stop = start + F.length(x["m"])
-        value = F.regexp_extract(x["m"], pattern, group)
-        span = F.struct(start.alias("start"), F.lit(nth).alias("nth"), F.lit(kind).alias("kind"), stop.alias("stop"))
-        spans = F.when(F.length(value) >= least, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"])
-        return F.struct(stop.alias("at"), spans.alias("spans"))
+    def advance(at: Column, x: Column) -> Column:
+        return F.struct(
+            (at["n"] + F.length(x["b"]) + F.length(x["m"])).alias("n"),
+            (at["k"] + F.octet_length(x["b"]) + F.octet_length(x["m"])).alias("k"),
+        )
 
-    walked = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("spans")), step)["spans"]
-    return F.when(text.rlike(pattern), walked).otherwise(none)
+    def emit(at: Column, x: Column) -> Column:
+        start, first = at["n"] + F.length(x["b"]), at["k"] + F.octet_length(x["b"])
+        span = F.struct(
+            start.alias("start"), F.lit(nth).alias("nth"), F.lit(kind).alias("kind"), (start + F.length(x["m"])).alias("stop"),
+            first.alias("first"), (first + F.octet_length(x["m"])).alias("last"),
+        )
+        return F.when(F.length(F.regexp_extract(x["m"], pattern, group)) >= least, F.array(span)).otherwise(none)
+
+    zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("k"))
+    return F.when(text.rlike(pattern), _walk(pairs, zero, none, advance, emit)).otherwise(none)
 
 
 def find_spans(text: Column, rules=RULES) -> Column:
@@ -66,58 +110,80 @@ def address(text_col: str) -> Column:
     return F.sha2(F.coalesce(text_col, F.lit("")).cast("binary"), 256)
 
 
-def update(docs: DataFrame, ledger: str, version: int = RULE_VERSION, rules=RULES, text_col: str = "text") -> DataFrame:
-    """Scan what the ledger lacks, and return its rows of this rule version: ``blob, spans``.
+def _exists(spark, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def _paths(ledger: str) -> str:
+    return f"{ledger.rstrip('/')}-paths"
+
+
+def findings(spark, ledger: str, rules=RULES) -> DataFrame:
+    """``blob, spans`` of all blobs with spans under these rules, one row each."""
+    held = spark.read.parquet(ledger).where((F.col("version") == rule_version(rules)) & (F.size("spans") > 0))
+    return held.groupBy("blob").agg(F.any_value("spans").alias("spans"))
+
+
+def history(spark, ledger: str, rules=RULES) -> DataFrame:
+    """``revision, doc_id, blob, spans``: what every path held in every revision that was scanned."""
+    spans = F.coalesce("spans", F.from_json(F.lit("[]"), SPANS))
+    paths = spark.read.schema("revision string, doc_id long, blob string").parquet(_paths(ledger))
+    return paths.join(findings(spark, ledger, rules), "blob", "left").select("revision", "doc_id", "blob", spans.alias("spans"))
+
+
+def update(docs: DataFrame, ledger: str, rules=RULES, text_col: str = "text") -> None:
+    """Scan the blobs of ``docs`` that the ledger lacks under these rules, and append their findings.
 
     ``ledger`` is a folder that all executors share; it need not exist.
     """
-    spark = docs.sparkSession
+    spark, version = docs.sparkSession, rule_version(rules)
     blobs = docs.select(address(text_col).alias("blob"), F.coalesce(text_col, F.lit("")).alias("text"))
     if _exists(spark, ledger):
         seen = spark.read.parquet(ledger).where(F.col("version") == version).select("blob")
-        blobs = blobs.join(seen, "blob", "left_anti")
+        # Addresses meet first, so that texts travel only with those that are left.
+        unseen = blobs.select("blob").distinct().join(seen, "blob", "left_anti")
+        blobs = blobs.join(unseen, "blob", "left_semi")
     new = blobs.groupBy("blob").agg(F.any_value("text").alias("text"))
-    new.select("blob", F.lit(version).alias("version"), find_spans(F.col("text"), rules).alias("spans")).write.mode(
-        "append"
-    ).parquet(ledger)
-    return spark.read.parquet(ledger).where(F.col("version") == version).select("blob", "spans")
+    found = new.select("blob", F.lit(version).alias("version"), find_spans(F.col("text"), rules).alias("spans"))
+    found.write.mode("append").parquet(ledger)
 
 
-def _exists(spark, path: str) -> bool:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
-
-
-def scan(docs: DataFrame, ledger: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, spans`` (an array, by start and kind) for every row of ``docs``.
+def scan(docs: DataFrame, ledger: str, rules=RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, spans`` (an array, by start and kind) for every row of ``docs``, as one revision.
 
     A null text counts as empty and has no span; repeated rows and rows of a null id each
     have their spans. Texts are scanned whole. An empty table gives an empty result; other
-    columns are ignored.
+    columns, of any name, are ignored.
     """
-    paths = materialize(docs.select(F.col(id_col).cast("long").alias("doc_id"), address(text_col).alias("blob")))
-    found = update(docs, ledger, text_col=text_col).where(F.size("spans") > 0)
-    spans = F.coalesce("spans", F.from_json(F.lit("[]"), SPANS))
-    return paths.join(found, "blob", "left").select("doc_id", spans.alias("spans"))
+    spark, revision = docs.sparkSession, uuid.uuid4().hex
+    paths = docs.select(F.lit(revision).alias("revision"), F.col(id_col).cast("long").alias("doc_id"), address(text_col).alias("blob"))
+    paths.write.mode("append").partitionBy("revision").parquet(_paths(ledger))
+    update(docs, ledger, rules, text_col)
+    return history(spark, ledger, rules).where(F.col("revision") == revision).select("doc_id", "spans")
 
 
-def redact(docs: DataFrame, ledger: str, text_col: str = "text", mark: str = "[REDACTED]") -> DataFrame:
-    """``docs`` with every span of the text replaced by ``mark``; overlapping spans become one."""
-    found = update(docs, ledger, text_col=text_col).where(F.size("spans") > 0)
-    text = F.col(text_col)
+def redact(docs: DataFrame, ledger: str, rules=RULES, text_col: str = "text", mark: str = "[REDACTED]") -> DataFrame:
+    """``docs`` with every span of the text replaced by ``mark``; overlapping spans become one.
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = s["start"] >= acc["at"]
-        piece = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        out = F.when(gap, F.concat(acc["out"], piece, F.lit(mark))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), out.alias("out"))
-
-    def end(acc: Column) -> Column:
-        return F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
-
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.when(F.col("_spans").isNull(), text).otherwise(F.aggregate("_spans", start, step, end))
-    rows = docs.withColumn("_blob", address(text_col)).join(
-        found.select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans")), "_blob", "left"
+    All columns stay, of any name; a null text stays null. Repeated rows are each cleaned, and
+    an empty table gives an empty result. Texts are cleaned whole, by places in their bytes.
+    """
+    update(docs, ledger, rules, text_col)
+    blob, spans = unused(docs, "blob"), unused(docs, "spans")
+    found = findings(docs.sparkSession, ledger, rules).select(F.col("blob").alias(blob), F.col("spans").alias(spans))
+    text = F.col(f"`{text_col}`")
+    # The text between the spans before and this one; null where they touch or overlap.
+    piece = lambda at, s: F.struct(F.when(s["first"] > at, at).alias("from"), s["first"].alias("to"), (s["first"] >= at).alias("apart"))
+    none = F.slice(F.array(piece(F.lit(0), F.element_at(spans, 1))), 1, 0)
+    gaps = _walk(F.col(spans), F.lit(0), none, lambda at, s: F.greatest(at, s["last"]), lambda at, s: F.array(piece(at, s)))
+    raw = text.cast("binary")
+    cut = lambda a, n: F.substring(raw, a + 1, n).cast("string")
+    before = F.transform(
+        F.filter(gaps, lambda g: g["apart"]), lambda g: F.concat(F.coalesce(cut(g["from"], g["to"] - g["from"]), F.lit("")), F.lit(mark))
     )
-    return rows.withColumn(text_col, clean).select(*docs.columns)
+    end = F.array_max(F.transform(spans, lambda s: s["last"]))
+    clean = F.concat(F.array_join(before, ""), cut(end, F.octet_length(text)))
+    rows = docs.withColumn(blob, address(text_col)).join(found, blob, "left")
+    clean = F.when(F.col(spans).isNull(), text).otherwise(clean)
+    return rows.select(*(clean.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))
