@@ -4,8 +4,11 @@ A URL becomes a set of tokens: labels of its host with their place, path segment
 their place (numbers as one token), names of query fields, a file suffix and a fragment
 mark. FP-growth mines the frequent sets among labelled URLs together with the block label;
 sets whose share of blocked URLs is high become rules. A rule goes where leaving out one of
-its tokens loses no confidence. Rules match through an inverted index: each is filed under
-its rarest token, so common tokens lead to few rules, and is then tested whole.
+its tokens loses no confidence. Tokens that the labelled URLs hold always together are one
+item of the mining, since their sets would double with each of them; a rule asks for any one
+of them, which is what all those sets as rules would. Rules match through an inverted index:
+each is filed under its rarest item, so common tokens lead to few rules, and is then tested
+whole.
 """
 
 from __future__ import annotations
@@ -57,7 +60,7 @@ def tokens(url: Column) -> Column:
     """The distinct tokens of a URL; none for a null URL or one without ``://``."""
     labels = F.reverse(F.split(host(url), r"\."))
     steps = F.split(F.regexp_replace(path(url), "^/", ""), "/")
-    query = F.regexp_extract_all(F.regexp_extract(url, r"\?([^#]*)", 1), F.lit(r"([^=&]+)(?:=[^&]*)?"), F.lit(1))
+    query = F.regexp_extract_all(F.regexp_extract(url, r"^[^#?]*\?([^#]*)", 1), F.lit(r"([^=&]+)(?:=[^&]*)?"), F.lit(1))
     parts = F.concat(
         F.transform(labels, lambda x, i: F.concat(F.lit("h"), i, F.lit(":"), x)),
         F.transform(steps, lambda x, i: F.concat(F.lit("p"), i, F.lit(":"), F.regexp_replace(x, "[0-9]+", "#"))),
@@ -76,23 +79,37 @@ def mine(
     min_count: int = MIN_COUNT,
     min_confidence: float = MIN_CONFIDENCE,
 ) -> DataFrame:
-    """Rules ``rule, tokens, support, confidence`` from URLs with a boolean label.
+    """Rules ``rule, tokens, same, support, confidence`` from URLs with a boolean label.
 
     ``support`` counts the blocked URLs that hold all tokens; ``confidence`` is their share
-    of all URLs that do. Rows with a null URL or label, and URLs without tokens, teach
-    nothing; repeated rows count each. No labelled row, or none blocked, gives no rule.
+    of all URLs that do. ``same`` has for each token all those that come always with it. Rows
+    with a null URL or label, and URLs without tokens, teach nothing; repeated rows count
+    each. No labelled row, or none blocked, gives no rule. Sets still double with tokens that
+    hold each other in a chain of falling counts, such as the directories of one deep path
+    that branches at every step.
     """
     spark = labelled.sparkSession
     rows = labelled.select(tokens(F.col(url_col)).alias("tokens"), F.col(block_col).alias("block"))
     rows = rows.where(F.col("block").isNotNull() & (F.size("tokens") > 0))
-    items = materialize(
-        rows.select(F.when(F.col("block"), F.concat("tokens", F.array(F.lit(BLOCK)))).otherwise(F.col("tokens")).alias("items"))
-    )
-    n = items.count()
-    empty = spark.createDataFrame([], "rule string, tokens array<string>, support long, confidence double")
+    rows = materialize(rows.withColumn("n", F.monotonically_increasing_id()))
+    n = rows.count()
+    empty = spark.createDataFrame([], "rule string, tokens array<string>, same array<array<string>>, support long, confidence double")
     if not n:
         return empty
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, min_count / n)), minConfidence=min_confidence).fit(items)
+    least = max(min_support * n, min_count)
+    each = rows.select("n", "block", F.explode("tokens").alias("token"))
+    # Two sums over the rows of a token tell sets of rows apart. Frequent tokens are at most
+    # the tokens of a URL over the support, so Spark may broadcast them.
+    held = each.groupBy("token").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("n")).alias("x"), F.bit_xor(F.xxhash64("n", F.lit(7))).alias("y"))
+    same = held.where(F.col("c") >= least).groupBy("c", "x", "y").agg(F.array_sort(F.collect_list("token")).alias("same"))
+    same = materialize(same.select(F.col("same")[0].alias("item"), "same"))
+    known = same.select("item", F.explode("same").alias("token"))
+    items = each.join(known, "token").groupBy("n", "block").agg(F.collect_set("item").alias("items"))
+    items = materialize(items.select(F.when(F.col("block"), F.concat("items", F.array(F.lit(BLOCK)))).otherwise(F.col("items")).alias("items")))
+    number = items.count()
+    if not number:
+        return empty
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 0.5) / number), minConfidence=min_confidence).fit(items)
     sets = materialize(model.freqItemsets.select(F.array_sort("items").alias("tokens"), F.col("freq").cast("long").alias("freq")))
     blocked = sets.where(F.array_contains("tokens", BLOCK) & (F.size("tokens") > 1)).select(
         F.array_remove("tokens", BLOCK).alias("tokens"), F.col("freq").alias("support")
@@ -111,7 +128,10 @@ def mine(
     )
     known = rules.select("rule", F.col("confidence").alias("wide"))
     redundant = wider.join(known, "rule").where("wide >= confidence").select(F.col("narrow").alias("rule"))
-    return materialize(rules.join(redundant, "rule", "left_anti"))
+    kept = materialize(rules.join(redundant, "rule", "left_anti"))
+    named = kept.select("rule", F.posexplode("tokens").alias("nth", "item")).join(same, "item").groupBy("rule")
+    named = named.agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "same"))), lambda x: x["same"]).alias("same"))
+    return materialize(kept.join(named, "rule").select("rule", "tokens", "same", "support", "confidence"))
 
 
 def match(urls: DataFrame, rules: DataFrame, url_col: str = "url") -> DataFrame:
@@ -119,21 +139,19 @@ def match(urls: DataFrame, rules: DataFrame, url_col: str = "url") -> DataFrame:
 
     The rule of highest confidence counts, then of highest support, then the smallest name.
     """
-    used = rules.select(F.explode("tokens").alias("token"), "rule").join(
-        rules.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("held")), "token"
-    )
+    used = rules.select("rule", F.posexplode("same").alias("nth", "any")).select("rule", "nth", "any", F.explode("any").alias("token"))
     # Rarity is measured over the URLs to match, for the few tokens that rules hold.
     told = urls.select(F.col(url_col).alias("url")).distinct().select("url", tokens(F.col("url")).alias("has"))
     seen = told.select(F.explode("has").alias("token")).join(used.select("token").distinct(), "token")
     seen = seen.groupBy("token").agg(F.count("*").alias("seen"))
-    rarest = used.join(seen, "token", "left").groupBy("rule")
-    rarest = rarest.agg(F.min_by("token", F.struct(F.coalesce("seen", F.lit(0)), "token")).alias("token"))
-    index = materialize(rules.join(rarest, "rule"))
+    rarest = used.join(seen, "token", "left").groupBy("rule", "nth", "any").agg(F.sum(F.coalesce("seen", F.lit(0))).alias("seen"))
+    rarest = rarest.groupBy("rule").agg(F.min_by("any", F.struct("seen", "nth")).alias("any"))
+    index = materialize(rules.join(rarest, "rule").select(F.explode("any").alias("token"), "rule", "same", "support", "confidence"))
     # Rules are as many as supports allow; Spark broadcasts the written table only below its limit.
     hits = (
         told.select("url", "has", F.explode("has").alias("token"))
-        .join(index.select("token", "rule", "tokens", "support", "confidence"), "token")
-        .where(F.size(F.array_except("tokens", "has")) == 0)
+        .join(index, "token")
+        .where(F.forall("same", lambda c: F.arrays_overlap(c, F.col("has"))))
     )
     best = F.min(F.struct(-F.col("confidence"), -F.col("support"), "rule")).alias("best")
     return hits.groupBy("url").agg(best).select("url", F.col("best.rule").alias("mined_rule"), (-F.col("best.col1")).alias("confidence"))
