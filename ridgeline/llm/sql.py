@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import html5
+
 SPACE = r"\x20\x09-\x0D"
 LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -127,25 +129,37 @@ from documents left join g using (doc_id)
 """
 
 
+#: Names of entities, with and without the semicolon as HTML has them, and their characters.
+ENTITIES = {f"&{name}": value for name, value in html5.items()} | {"&nbsp;": " "}
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _decoded(text: str) -> str:
+    """Entities replaced once: the text in pieces, of which those that are entities have their characters."""
+    piece = "&(?:#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z0-9]+);?|&|[^&]+"
+    one = """coalesce(m[e], case when regexp_matches(e, '^&#[xX]') then chr(('0x' || regexp_extract(e, '[xX]([0-9A-Fa-f]+)', 1))::int)
+        when regexp_matches(e, '^&#[0-9]') then chr(regexp_extract(e, '[0-9]+')::int) end, e)"""
+    return f"array_to_string(list_transform(regexp_extract_all({text}, '{piece}'), lambda e: {one}), '')"
+
+
+def _replaced(text: str, steps) -> str:
+    for pattern, to in steps:
+        text = f"regexp_replace({text}, '{pattern}', '{to}', 'g')"
+    return text
+
+
 def _text(html: str) -> str:
-    steps = (
+    tags = (
         ("(?is)<(?:script|style)\\b.*?</(?:script|style)\\s*>", " "),
         ("(?s)<!--.*?-->", " "),
         ("(?i)</?(?:p|div|h[1-6]|li|ul|ol|br|tr|td|table|section|article|header|footer|nav|title)\\b[^>]*>", "\n"),
         ("<[^>]*>", ""),
-        ("&nbsp;", " "),
-        ("&lt;", "<"),
-        ("&gt;", ">"),
-        ("&quot;", '"'),
-        ("&#39;", "''"),
-        ("&amp;", "&"),
-        ("[ \\t\\r\\f]+", " "),
-        (" ?\\n[ \\n]*", "\n"),
-        ("^[ \\n]+|[ \\n]+$", ""),
     )
-    for pattern, to in steps:
-        html = f"regexp_replace({html}, '{pattern}', '{to}', 'g')"
-    return html
+    white = (("[ \\t\\r\\f]+", " "), (" ?\\n[ \\n]*", "\n"), ("^[ \\n]+|[ \\n]+$", ""))
+    return _replaced(_decoded(_replaced(html, tags)), white)
 
 
 CRLF = "chr(13) || chr(10)"
@@ -157,23 +171,29 @@ def _uuid(parts: str) -> str:
     return f"'<urn:uuid:' || {pieces} || '>'"
 
 
+QUOTES = "trim(t, chr(34) || chr(39))"
+LINES = ("'HTTP/1.1 200 OK'", "'Content-Type: text/html; charset=utf-8'", "'Content-Length: ' || size")
+TARGET = _decoded(QUOTES)
 WARC = f"""
-with p as (select page_id, url, coalesce(html, '') as html from pages
+with entities as materialized (select map([{", ".join(map(_quoted, ENTITIES))}], [{", ".join(map(_quoted, ENTITIES.values()))}]) as m
+), p as (select page_id, url, coalesce(html, '') as html, m from pages, entities
 ), s as (
-    select page_id, url, html, 'sha256:' || sha256(html) as source_digest,
+    select page_id, url, html, m, 'sha256:' || sha256(html) as source_digest,
         {_uuid("'response' || chr(10) || coalesce(page_id::varchar, '') || chr(10) || coalesce(url, '') || chr(10) || html")} as refers_to,
         strlen(html) as size from p
 ), r as (
-    select page_id, url, refers_to, source_digest, 'conversion' as warc_type, 'text/plain; charset=utf-8' as content_type,
+    select page_id, url, refers_to, source_digest, size, 'conversion' as warc_type, 'text/plain; charset=utf-8' as content_type,
         {_text("html")} as block from s
     union all
-    select page_id, url, refers_to, source_digest, 'metadata', 'application/warc-fields',
+    select page_id, url, refers_to, source_digest, size, 'metadata', 'application/warc-fields',
         'title: ' || {_text("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title', 1)")} || {CRLF}
-        || 'lang: ' || regexp_extract(html, '(?i)<html[^>]*\\blang="([^"]*)"', 1) || {CRLF}
-        || 'charset: ' || regexp_extract(html, '(?i)<meta[^>]*\\bcharset="?([A-Za-z0-9_-]+)', 1) || {CRLF}
+        || 'lang: ' || regexp_extract(html, '(?i)<html[^>]*\\blang\\s*=\\s*["'']?([^"''\\s>]*)', 1) || {CRLF}
+        || 'charset: ' || regexp_extract(html, '(?i)<meta[^>]*\\bcharset\\s*=\\s*["'']?([A-Za-z0-9_-]+)', 1) || {CRLF}
         || 'outlinks: ' || len(regexp_extract_all(html, '(?i)<a\\s[^>]*\\bhref=')) || {CRLF}
         || 'source-payload-digest: ' || source_digest || {CRLF}
-        || 'source-http-headers: HTTP/1.1 200 OK | Content-Type: text/html; charset=utf-8 | Content-Length: ' || size || {CRLF}
+        || {" || ".join(f"'source-http-header: ' || {line} || {CRLF}" for line in LINES)}
+        || array_to_string(list_transform(regexp_extract_all(html, '(?i)<a\\s[^>]*?\\bhref=\\s*("[^"]*"|''[^'']*''|[^\\s>"'']*)', 1),
+            lambda t: 'outlink: ' || trim(regexp_replace({TARGET}, '[\\t\\r\\n]', '', 'g')) || {CRLF}), '')
     from s
 ), o as (
     select *, {_uuid("warc_type || chr(10) || refers_to || chr(10) || 'sha256:' || sha256(block)")} as record_id,
@@ -184,7 +204,7 @@ select page_id, record_id, warc_type, refers_to, url as target_uri, content_type
     || 'WARC-Date: 2024-01-01T00:00:00Z' || {CRLF} || coalesce('WARC-Target-URI: ' || url || {CRLF}, '')
     || 'WARC-Refers-To: ' || refers_to || {CRLF} || 'WARC-Source-Payload-Digest: ' || source_digest || {CRLF}
     || 'WARC-Block-Digest: ' || block_digest || {CRLF} || 'Content-Type: ' || content_type || {CRLF}
-    || 'Content-Length: ' || content_length as header,
+    || 'Content-Length: ' || content_length || {" || ".join(f"{CRLF} || 'WARC-Source-HTTP-Header: ' || {line}" for line in LINES)} as header,
     block
 from o
 """

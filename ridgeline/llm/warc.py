@@ -2,7 +2,8 @@
 
 Every response gets a metadata record (title, language, character set, links, the source's
 HTTP headers) and a conversion record (its text). Both name the response in WARC-Refers-To
-and carry its target, date and payload digest, beside the digest of their own block.
+and carry its target, date, payload digest and HTTP header lines, beside the digest of their
+own block.
 Identifiers are addresses of the content, so a rerun makes the same ones. Records are
 written as WARC files by Spark's text sink, whose line separator is the mark that ends a
 record, and so through any store and with its commit protocol.
@@ -90,8 +91,15 @@ def responses(
     )
 
 
-def _header(kind: Column, own: Column, content: Column, block: Column, more: list[tuple[str, Column]]) -> Column:
-    """The named lines of a record; a line whose value is null is left out."""
+def header_lines(headers: Column) -> Column:
+    """The lines of an HTTP header that are not empty."""
+    return F.filter(F.split(headers, r"\r\n"), lambda x: x != "")
+
+
+def _header(
+    kind: Column, own: Column, content: Column, block: Column, more: list[tuple[str, Column]], lines: Column | None = None
+) -> Column:
+    """The named lines of a record, those of its source last; a line whose value is null is left out."""
     named = [
         ("WARC-Type", kind),
         ("WARC-Record-ID", own),
@@ -101,6 +109,7 @@ def _header(kind: Column, own: Column, content: Column, block: Column, more: lis
         ("WARC-Block-Digest", digest(block)),
         ("Content-Type", content),
         ("Content-Length", F.octet_length(block).cast("string")),
+        ("WARC-Source-HTTP-Header", F.lit(None).cast("string") if lines is None else lines),
     ]
     return F.concat_ws("\r\n", F.lit("WARC/1.1"), *(F.concat(F.lit(f"{k}: "), v) for k, v in named))
 
@@ -122,29 +131,36 @@ def derive(source: DataFrame) -> DataFrame:
     Columns: ``page_id, record_id, warc_type, refers_to, target_uri, content_type,
     source_digest, block_digest, content_length, header, block``. ``source`` has the columns
     of ``responses``. Null payloads and headers count as empty, and a null target leaves its
-    line out. Repeated rows give repeated records of the same identifiers; an empty table
-    gives an empty result; other columns are ignored.
+    line out. Identifiers name contents, so repeated rows give repeated records of the same
+    ones. Pages of any length are converted whole; an empty table gives an empty result; other
+    columns are ignored.
     """
     html = F.coalesce("payload", F.lit(""))
     targets = F.regexp_extract_all(html, F.lit(r"(?i)<a\s[^>]*?\bhref=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']*)"), F.lit(1))
     first = lambda pattern: F.regexp_extract(html, pattern, 1)
     named = [
         ("title", plain_text(first(r"(?is)<title[^>]*>(.*?)</title"))),
-        ("lang", first(r"(?i)<html[^>]*\blang=\"([^\"]*)\"")),
-        ("charset", first(r"(?i)<meta[^>]*\bcharset=\"?([A-Za-z0-9_-]+)")),
+        ("lang", first(r"(?i)<html[^>]*\blang\s*=\s*[\"']?([^\"'\s>]*)")),
+        ("charset", first(r"(?i)<meta[^>]*\bcharset\s*=\s*[\"']?([A-Za-z0-9_-]+)")),
         ("outlinks", F.regexp_count(html, F.lit(r"(?i)<a\s[^>]*\bhref=")).cast("string")),
         ("source-payload-digest", digest(html)),
-        ("source-http-headers", F.regexp_replace(F.coalesce("http_headers", F.lit("")), r"\r\n", " | ")),
     ]
-    fields = F.concat(*(F.concat(F.lit(f"{k}: "), v, F.lit("\r\n")) for k, v in named), outlinks(targets))
+    lines = header_lines(F.coalesce("http_headers", F.lit("")))
+    # One line for each header of the source, so that none loses its form.
+    headers = F.array_join(F.transform(lines, lambda x: F.concat(F.lit("source-http-header: "), x, F.lit("\r\n"))), "")
+    fields = F.concat(*(F.concat(F.lit(f"{k}: "), v, F.lit("\r\n")) for k, v in named), headers, outlinks(targets))
     made = [("metadata", "application/warc-fields", fields), ("conversion", "text/plain; charset=utf-8", plain_text(html))]
     records = [F.struct(F.lit(k).alias("kind"), F.lit(c).alias("content"), b.alias("block")) for k, c, b in made]
     rows = source.select(
-        "page_id", "record_id", "target_uri", "warc_date", digest(html).alias("source_digest"), F.explode(F.array(*records)).alias("r")
+        "page_id", "record_id", "target_uri", "warc_date", digest(html).alias("source_digest"), lines.alias("lines"), F.explode(F.array(*records)).alias("r")
     )
     kind, content, block = F.col("r.kind"), F.col("r.content"), F.col("r.block")
     own, refers = record_id(kind, F.col("record_id"), digest(block)), F.col("record_id")
-    more = [("WARC-Refers-To", refers), ("WARC-Source-Payload-Digest", F.col("source_digest"))]
+    source_lines = F.when(F.size("lines") > 0, F.array_join("lines", "\r\nWARC-Source-HTTP-Header: "))
+    more = [
+        ("WARC-Refers-To", refers),
+        ("WARC-Source-Payload-Digest", F.col("source_digest")),
+    ]
     return rows.select(
         "page_id",
         own.alias("record_id"),
@@ -155,7 +171,7 @@ def derive(source: DataFrame) -> DataFrame:
         "source_digest",
         digest(block).alias("block_digest"),
         F.octet_length(block).cast("long").alias("content_length"),
-        _header(kind, own, content, block, more).alias("header"),
+        _header(kind, own, content, block, more, source_lines).alias("header"),
         block.alias("block"),
     )
 
