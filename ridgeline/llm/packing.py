@@ -84,28 +84,19 @@ class WordTokenizer:
     def meet(self, words: set[str]) -> None:
         """Remember the ids of words, as written between white space."""
         known = self.known
-        cut = [(w, self.words(w)) for w in words]
-        self.learn(sorted({x for _, pre in cut for x in pre if x not in known}))
-        self.seen.update((w, b"".join([known[x] for x in pre])) for w, pre in cut)
+        cut = list(zip(words, map(self.words, words)))
+        self.learn(list({x for _, pre in cut for x in pre}.difference(known)))
+        self.seen.update((w, known[pre[0]] if len(pre) == 1 else b"".join([known[x] for x in pre])) for w, pre in cut)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         if len(self.seen) > REMEMBERED:
             self.seen.clear()
             self.known.clear()
-        get, found = self.seen.get, []
-        for t in texts:
-            words = t.lower().split() if self.simple(t) and "<|" not in t else None
-            found.append((words, words and list(map(get, words))))
-        gaps = [k for k, (_, ids) in enumerate(found) if ids and None in ids]
-        self.meet({w for k in gaps for w, x in zip(*found[k]) if x is None})
-        for k in gaps:
-            words, ids = found[k]
-            found[k] = words, [x if x is not None else get(w) for w, x in zip(words, ids)]
-        return [
-            self.whole(t) if words is None else b"".join(ids or ())
-            for t, (words, ids) in zip(texts, found)
-        ]
+        cut = [t.lower().split() if self.simple(t) and "<|" not in t else None for t in texts]
+        self.meet(set().union(*(words for words in cut if words)).difference(self.seen))
+        ids = self.seen.__getitem__
+        return [self.whole(t) if words is None else b"".join(map(ids, words)) for t, words in zip(texts, cut)]
 
 
 _workers: dict[str, WordTokenizer] = {}
