@@ -16,7 +16,7 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._store import unused
+from ._store import materialize, unused
 
 #: The kinds in their order, patterns, and the group and least length that count.
 RULES = (
@@ -34,6 +34,8 @@ RULES = (
 SPANS = "array<struct<start:int,nth:int,kind:string,stop:int,first:int,last:int>>"
 #: Items of an array that are walked together.
 CHUNK = 256
+#: Most addresses (of 64 bytes) that are broadcast.
+FEW = 100_000
 
 
 def rule_version(rules=RULES) -> str:
@@ -137,14 +139,19 @@ def update(docs: DataFrame, ledger: str, rules=RULES, text_col: str = "text") ->
 
     ``ledger`` is a folder that all executors share; it need not exist.
     """
-    spark, version = docs.sparkSession, rule_version(rules)
+    spark, version, few = docs.sparkSession, rule_version(rules), True
     blobs = docs.select(address(text_col).alias("blob"), F.coalesce(text_col, F.lit("")).alias("text"))
     if _exists(spark, ledger):
         seen = spark.read.parquet(ledger).where(F.col("version") == version).select("blob")
-        # Addresses meet first, so that texts travel only with those that are left.
-        unseen = blobs.select("blob").distinct().join(seen, "blob", "left_anti")
-        blobs = blobs.join(unseen, "blob", "left_semi")
+        # Addresses meet first. Where few are left, texts of the others do not travel.
+        unseen = materialize(blobs.select("blob").distinct().join(seen, "blob", "left_anti"))
+        few = unseen.count() <= FEW
+        if few:
+            blobs = blobs.join(F.broadcast(unseen), "blob", "left_semi")
+    # Copies in a task become one row before they travel.
     new = blobs.groupBy("blob").agg(F.any_value("text").alias("text"))
+    if not few:
+        new = new.join(unseen, "blob", "left_semi")
     found = new.select("blob", F.lit(version).alias("version"), find_spans(F.col("text"), rules).alias("spans"))
     found.write.mode("append").parquet(ledger)
 
