@@ -27,7 +27,7 @@ BITS, DIM, GRAMS = 18, 16, (3, 4, 5)
 #: Most labelled documents to learn from, those of the smallest hashes of their ids.
 SAMPLE = 8000
 #: Most feature counts of all of them together (8 bytes each on the driver); documents beyond it are left out.
-FEATURES = 40_000_000
+FEATURES = 12_000_000
 EPOCHS, RATE, BATCH = 4, 10.0, 8
 #: Characters that a task turns into features at once.
 RUN = 400_000
