@@ -10,10 +10,13 @@ from pyspark.sql import DataFrame
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the checkpoint folder that all executors share.
 
-    The folder is the one that ``spark.checkpoint.dir`` names; where none is set, a local one.
+    The folder is the one that ``spark.checkpoint.dir`` names. Where none is set, a session of
+    one process uses a folder of its own, and any other raises an error.
     """
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         named = sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or f"file://{tempfile.mkdtemp(prefix='ridgeline-')}")
     return df.checkpoint()

@@ -137,10 +137,10 @@ def quadtree_cells(spark, d):
 
 
 @query(f"""
-with a as (select id % 7 as code, id, lon, lat from {PLACES} where kind = 6)
+with a as (select id % 7 as code, id, lon, lat from {PLACES})
 select code, round(quantile_cont(lon, 0.5), 6) as lon, round(quantile_cont(lat, 0.5), 6) as lat, count(*) as n from a group by 1
 """)
 def code_centres(spark, d):
     """The median place of each code."""
-    p = places(spark, d).where("kind = 6")
+    p = places(spark, d)
     return p.groupBy((F.col("id") % 7).alias("code")).agg(F.round(F.median("lon"), 6).alias("lon"), F.round(F.median("lat"), 6).alias("lat"), F.count("*").alias("n"))

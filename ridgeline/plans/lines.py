@@ -10,7 +10,7 @@ from ..catalog import query, table
 from ..operators import graph
 from ..operators import lines as op
 from ..operators import series
-from .graphs import ROADS, every_road, roads
+from .graphs import ROADS, roads
 from .rides import SAMPLES, samples
 
 #: Lines in metres, their vertices with weights, their segments, and the cover of one by another.
@@ -192,12 +192,12 @@ def filled_columns(spark, d):
 
 
 @query("""
-select l_orderkey, l_orderkey in (select o_orderkey from orders where o_orderstatus = 'F') as held from lineitem where l_linenumber = 1
+select l_orderkey, l_orderkey in (select o_orderkey from orders where o_orderstatus = 'F') as held from lineitem
 """)
 def run_membership(spark, d):
     """Whether ids lie in the runs of a table of ids."""
     ids = table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
-    return op.in_runs(ids, table(spark, d, "lineitem").where("l_linenumber = 1").select("l_orderkey"), "l_orderkey")
+    return op.in_runs(ids, table(spark, d, "lineitem").select("l_orderkey"), "l_orderkey")
 
 
 @query(f"""
@@ -243,17 +243,13 @@ def weekly_rows(spark, d):
 
 
 @query(f"""
-with recursive e as (select id, node from (select id, unnest([src, dst]) as node from {ROADS})),
+with recursive e as materialized (select id, node from (select id, unnest([src, dst]) as node from {ROADS})),
 m as (select min(id) as a, max(id) as b from e group by node having count(*) = 2 and min(id) <> max(id)),
-n as (select a, b from m union select b, a from m),
-r(id, other) as (select id, id from {ROADS} union select r.id, n.b from r join n on n.a = r.other)
-select id, min(other) as chain from r group by 1
+n as materialized (select a, b from m union select b, a from m),
+r(id, chain) using key (id) as (select id, id from {ROADS}
+    union select n.b, min(r.chain) from r join n on n.a = r.id join recurring.r as k on k.id = n.b where r.chain < k.chain group by 1)
+select id, chain from r
 """)
 def line_chains(spark, d):
     """Roads joined to chains at nodes where just two meet."""
     return graph.chains(roads(spark, d).withColumn("kind", F.lit(1)), "kind")
-
-
-@query(None)
-def whole_line_chains(spark, d):
-    return graph.chains(every_road(spark, d).withColumn("kind", F.lit(1)), "kind")

@@ -235,18 +235,18 @@ def test_whole_graph_queries_take_all_rows(spark):
 
     seeds = [p.p_partkey for p in parts if p.p_size == 50]
     assert seeds
-    assert got("whole_components") == {(n, min(reached(n, both))) for n in both if both[n] - {n}}
+    assert got("components") == {(n, min(reached(n, both))) for n in both if both[n] - {n}}
     far = {n: reached(n, out) for n in both}
-    assert got("whole_strong_components") == {(n, min(m for m in far[n] if n in far[m])) for n in both}
-    assert got("whole_shortest_paths") == {(s, n, c) for s in seeds for n, c in costs(s).items()}
-    assert got("whole_bounded_traversal") == {(s, n, k) for s in seeds for n, k in steps(s).items()}
-    assert got("whole_road_successors") == {(i, roads[b, c][0]) for (a, b), (i, _) in roads.items() for c in out.get(b, ()) if c != a}
-    assert got("whole_profile_costs") == {
+    assert got("strong_components") == {(n, min(m for m in far[n] if n in far[m])) for n in both}
+    assert got("shortest_paths") == {(s, n, c) for s in seeds for n, c in costs(s).items()}
+    assert got("bounded_traversal") == {(s, n, k) for s in seeds for n, k in steps(s).items()}
+    assert got("road_successors") == {(i, roads[b, c][0]) for (a, b), (i, _) in roads.items() for c in out.get(b, ()) if c != a}
+    assert got("profile_costs") == {
         x for i, c in roads.values() for x in [(i, "walk", 3 * c), (i, "bike", c + 10 if i % 5 else None), (i, "mtb", c * (1 + i % 3))]
     }
-    assert {r[0] for r in got("whole_line_chains")} == {i for i, _ in roads.values()}
+    assert {r[0] for r in got("line_chains")} == {i for i, _ in roads.values()}
     marks = got("landmark_distances")
     assert marks == {(m, n, c) for m in {r[0] for r in marks} for n, c in costs(m).items()}
     manifest = {n: {r[0]: r[1] for r in spark.read.parquet(f"{SMALL}/{n}.parquet").select(*c).collect()} for n, c in (("customer", ("c_custkey", "c_nationkey")), ("supplier", ("s_suppkey", "s_nationkey")))}
     c, s = manifest["customer"], manifest["supplier"]
-    assert got("whole_manifest_merge") == {(k, c.get(k, s.get(k)), k in c and k in s and c[k] != s[k]) for k in c.keys() | s.keys()}
+    assert got("manifest_merge") == {(k, c.get(k, s.get(k)), k in c and k in s and c[k] != s[k]) for k in c.keys() | s.keys()}
