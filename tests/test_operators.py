@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from ridgeline.functions import geo
 from ridgeline.functions import text as fn
-from ridgeline.operators import graph, search, series, spatial, tables
+from ridgeline.operators import graph, search, series, spatial, tables, ways
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -250,3 +250,15 @@ def test_whole_graph_queries_take_all_rows(spark):
     manifest = {n: {r[0]: r[1] for r in spark.read.parquet(f"{SMALL}/{n}.parquet").select(*c).collect()} for n, c in (("customer", ("c_custkey", "c_nationkey")), ("supplier", ("s_suppkey", "s_nationkey")))}
     c, s = manifest["customer"], manifest["supplier"]
     assert got("manifest_merge") == {(k, c.get(k, s.get(k)), k in c and k in s and c[k] != s[k]) for k in c.keys() | s.keys()}
+
+
+def test_simplified_lines_and_forward_matches(spark):
+    rows = spark.createDataFrame([(1, [0.0, 1.0, 2.0, 3.0], [0.0, 0.4, 5.0, 0.0], ["a", "b", "a", "c", "b"], ["b", "a", "a", "b"])], "id long, x array<double>, y array<double>, held array<string>, keys array<string>")
+    got = rows.select(ways.simplified("x", "y", F.lit(0.5)).alias("kept"), ways.forward_matches("keys", "held").alias("found")).first()
+    assert got.kept == [0, 1, 2, 3] and got.found == [1, 2, 2, 4]
+    assert rows.select(ways.simplified("x", "y", F.lit(9.0)).alias("kept")).first().kept == [0, 3]
+
+
+def test_numbered_is_a_total_order(spark):
+    got = ways.numbered(spark.range(100).selectExpr("99 - id as v"), ["v"]).collect()
+    assert {(r.v, r.nth) for r in got} == {(k, k) for k in range(100)}
