@@ -347,3 +347,169 @@ def test_pipeline_stages_against_plain_python(spark):
     packed = corpus_pipeline.run(spark, SMALL)
     assert packed.where("offset + length > 2048").count() == 0
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == {r.doc_id for r in mixed.collect()}
+
+
+def test_co_directional_vectors_are_found(spark):
+    rng = np.random.default_rng(4)
+    for copies, others in ((200, 400), (200, 1000), (1000, 500)):
+        base = rng.normal(size=16)
+        x = np.vstack([base * rng.uniform(0.1, 9, size=(copies, 1)), rng.normal(size=(others, 16))]).astype(np.float32)
+        x = x[rng.permutation(len(x))]
+        d = vectors(spark, [(i, [float(v) for v in r], 1, 5) for i, r in enumerate(x)])
+        got = vector_graph.nearest(d, F.col("vec_id") % 20 == 0, 5).collect()
+        u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+        hits = 0
+        for q in range(0, len(x), 20):
+            c = u @ u[q]
+            c[q] = -2
+            hits += sum(r.score >= np.sort(c)[-5] - 1e-9 for r in got if r.query_id == q)
+        assert hits >= 0.9 * len(range(0, len(x), 20)) * 5
+
+
+def test_clustered_vectors_are_searched_in_few_shards(spark):
+    rng = np.random.default_rng(0)
+    x = (rng.normal(size=(40, 32))[rng.integers(0, 40, 4000)] * 4 + rng.normal(size=(4000, 32))).astype(np.float32)
+    d = vectors(spark, [(i, [float(v) for v in r], 1, 5) for i, r in enumerate(x)])
+    got = vector_graph.nearest(d, F.col("vec_id") % 50 == 0, 5, shard=250).collect()
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    hits = 0
+    for q in range(0, 4000, 50):
+        c = u @ u[q]
+        c[q] = -2
+        hits += sum(r.score >= np.sort(c)[-5] - 1e-12 for r in got if r.query_id == q)
+    assert hits >= 0.9 * 80 * 5
+    assert np.mean([r.searched for r in got]) < 0.7 * 4000
+
+
+def test_repeated_vectors_count_once(spark):
+    rows = [(1, [1.0, 0.0], 1, 1), (1, [1.0, 0.0], 1, 1), (2, [1.0, 0.0], 1, 1), (3, [0.0, 1.0], 1, 1), (3, [0.0, 1.0], 1, 1)]
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(vectors(spark, rows)).collect())
+    assert got == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 0, 3), (3, 0, 3)]
+    near = vector_graph.nearest(vectors(spark, rows), F.lit(True), 5).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id) for r in near) == [(1, 1, 2), (1, 2, 3), (2, 1, 1), (2, 2, 3), (3, 1, 1), (3, 2, 2)]
+
+
+def test_keep_one_keeps_different_texts_of_one_id(spark):
+    rows = [(7, "a b c d e f g", "x"), (7, "quite another text than the first one", "y"), (8, "A b c  d e f g", "z")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, _odd string").withColumns({"n": F.lit(1), "K1": F.lit(2)})
+    got = minhash_dedup.keep_one(d)
+    assert got.columns == d.columns and sorted(r["_odd"] for r in got.collect()) == ["x", "y"]
+
+
+def test_near_copies_around_a_leader_are_linked(spark):
+    """A leader that is no near copy of all: the others must still find each other."""
+    base = [f"w{k}" for k in range(120)]
+    rows = [(n, " ".join(base[: 100 + 4 * (n % 6)] + [f"x{n}"] * (n % 2))) for n in range(60)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    want = grouped({n: shingles(t) for n, t in rows}, 90)
+    assert {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(d, 90).collect()} == want
+
+
+def test_sample_is_of_documents_that_exist(spark):
+    docs = spark.createDataFrame([(i, "good text here" if i % 2 else "bad junk there") for i in range(20)], "doc_id long, text string")
+    labels = spark.range(100_000).selectExpr("id as doc_id", "cast(id % 2 as int) as label")
+    model = quality_classifier.fit(docs, labels, sample=20)
+    good, bad = model.score(["good text here", "bad junk there"])
+    assert good > bad
+
+
+def test_scores_equal_brute_force():
+    full = (1 << 64) - 1
+    mixed = lambda x: mixed_once(mixed_once(x)) ^ (mixed_once(mixed_once(x)) >> 32)
+    mixed_once = lambda x: ((x ^ (x >> 32)) * 0xD6E8FEB86659FD93) & full
+    base, bits = 0x9E6C63D0876A9A6D, quality_classifier.BITS
+
+    def buckets(text):
+        w = text.split()
+        hashed = [mixed(sum(mixed((ord(c) + k * base) & full) for k, c in enumerate(x)) & full) for x in w]
+        yield from (h >> (64 - bits) for h in hashed)
+        yield from (mixed((a * base + b) & full) >> (64 - bits) for a, b in zip(hashed, hashed[1:]))
+        for x in w:
+            x = f" {x} "
+            for n in quality_classifier.GRAMS:
+                for k in range(len(x) - n + 1):
+                    rolling = 0
+                    for c in x[k : k + n]:
+                        rolling = (rolling * base + ord(c)) & full
+                    yield (((rolling + n) * 0xD6E8FEB86659FD93) & full) >> (64 - bits)
+
+    rng = np.random.default_rng(1)
+    model = quality_classifier.Model(rng.normal(size=1 << bits).astype(np.float32), 0.25)
+    texts = ["the cat sat on the mat", "été é 😀 word", "", "a", "one two  three\nfour " * 50]
+    for t, got in zip(texts, model.score(texts)):
+        found = [float(model.table[b]) for b in buckets(t)]
+        assert math.isclose(got, 1 / (1 + math.exp(-(sum(found) / max(1, len(found)) + 0.25))), rel_tol=1e-9)
+
+
+def test_small_partitions_pack_with_little_padding(spark):
+    d = spark.range(2000).selectExpr("id as doc_id", "concat('a short text of words ', id) as text").repartition(200)
+    pieces = packing.pack(d, TOKENS).collect()
+    used = sum(p.length for p in pieces)
+    sequences = len({p.sequence_id for p in pieces})
+    assert sequences == -(-used // 2048)
+
+
+def test_ledger_versions_follow_the_rules_and_paths_keep_revisions(spark, tmp_path):
+    ledger = f"file://{tmp_path}/ledger"
+    first = spark.createDataFrame([(1, "0af" * 9), (2, "none")], "doc_id long, text string")
+    then = spark.createDataFrame([(1, "clean now"), (2, "none"), (3, "0af" * 9)], "doc_id long, text string")
+    secret_ledger.update(first, ledger)
+    secret_ledger.update(first, ledger)
+    assert spark.read.parquet(ledger).count() == 2
+    secret_ledger.scan(first, ledger)
+    assert {r.doc_id: len(r.spans) for r in secret_ledger.scan(then, ledger).collect()} == {1: 0, 2: 0, 3: 1}
+    assert spark.read.parquet(ledger).count() == 3
+    assert secret_ledger.history(spark, ledger).count() == 5
+    other = (("hex", r"[0-9a-f]{5,}", 0, 5),)
+    assert {r.doc_id: len(r.spans) for r in secret_ledger.scan(then, ledger, other).collect()} == {1: 0, 2: 0, 3: 1}
+    assert {s["kind"] for r in secret_ledger.scan(then, ledger, other).collect() for s in r.spans} == {"hex"}
+    # Two runs that scan one blob at once leave two rows of it.
+    spark.read.parquet(ledger).limit(3).write.mode("append").parquet(f"{tmp_path}/copy")
+    spark.read.parquet(f"{tmp_path}/copy").write.mode("append").parquet(ledger)
+    assert secret_ledger.scan(then, ledger).count() == 3
+
+
+def test_redact_keeps_columns_of_any_name_and_many_spans(spark, tmp_path):
+    text = " é ".join(["token=abcdef" + "0af" * 9] * 700)
+    d = spark.createDataFrame([(1, text, "b", "s"), (2, None, "b", "s")], "doc_id long, text string, _blob string, Spans string")
+    got = {r.doc_id: r for r in secret_ledger.redact(d, f"file://{tmp_path}/l").collect()}
+    assert (got[1]["_blob"], got[1]["Spans"]) == ("b", "s") and got[2].text is None
+    assert got[1].text == " é ".join(["[REDACTED]"] * 700)
+
+
+def test_no_url_rule_is_missing(spark):
+    import itertools
+    import random
+
+    rng = random.Random(3)
+    rows = [(n, f"http://{rng.choice('ab')}.test/{rng.choice('xyz')}/deep/er/{rng.choice('pq')}", rng.random() < 0.4) for n in range(120)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, block boolean")
+    has = [frozenset(r[0]) for r in pages.select(url_rules.tokens(F.col("url"))).collect()]
+    count, bad = {}, {}
+    for h, (_, _, block) in zip(has, rows):
+        for k in range(1, len(h) + 1):
+            for s in itertools.combinations(sorted(h), k):
+                count[s] = count.get(s, 0) + 1
+                bad[s] = bad.get(s, 0) + block
+    strong = [set(s) for s in count if bad[s] >= 5 and bad[s] >= 0.5 * count[s]]
+    want = {n for n, h in enumerate(has) if any(s <= h for s in strong)}
+    got = url_rules.judge(pages.drop("block"), pages.select("page_id", "block"), rules=(), min_support=0.01)
+    assert {r.page_id for r in got.where("verdict = 'block'").collect()} == want
+
+
+def test_session_settings_stay_and_temporary_tables_go(spark, docs):
+    from ridgeline.llm import _store
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    with _store.temporary(spark):
+        assert packing.pack(docs, TOKENS).count() and minhash_dedup.near_duplicates(docs).count()
+        made = list(_store._open[-1])
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+    gone = spark._jvm.org.apache.hadoop.fs.Path(made[0])
+    assert made and not gone.getFileSystem(spark._jsc.hadoopConfiguration()).exists(gone)
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    for name in ("documents", "labels"):
+        table(spark, SMALL, name).limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
