@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgeline.llm import minhash_dedup, mixing, packing, quality_classifier, secret_ledger
-from ridgeline.llm._store import new_path, shared_dir, temporary
+from ridgeline.llm._store import new_path, shared_dir, small_batches, temporary
 from ridgeline.llm.queries import quality_labels, table
 
 #: Documents of a lower score go. Near copies share this many hundredths of their shingles.
@@ -57,7 +57,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
-        with temporary(spark):
+        with temporary(spark), small_batches(spark):
             stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
     return docs
