@@ -17,9 +17,11 @@ from ..functions import geo
 from ..functions.store import cut
 
 
-def cells(df: DataFrame, radius: float, spread: bool, lon: str = "lon", lat: str = "lat") -> DataFrame:
+def cells(df: DataFrame, radius: float | Column, spread: bool, lon: str = "lon", lat: str = "lat") -> DataFrame:
     """Adds the cell ``cx, cy``; with ``spread``, a row for each cell that ``radius`` reaches.
 
+    ``radius`` may be a column; cells of different radii are then different grids.
+
     A row of cells is cut into as many parts of the circle as are no narrower than the radius
     at its end next to the equator. The reach is taken at the end of the three rows next to
     the pole, where it is widest; near a pole it is the whole circle, of few cells there.
@@ -35,15 +37,17 @@ def cells(df: DataFrame, radius: float, spread: bool, lon: str = "lon", lat: str
     # Two points whose mean latitude is m are side / cos(m) of longitude apart at most.
     mean = F.least(F.abs(F.col(lat)) + side / 2, F.lit(90.0))
     reach = F.least(F.lit(side) / F.greatest(F.cos(F.radians(mean)), F.lit(1e-9)) / 360, F.lit(0.5))
-    df = df.withColumns({"_t": turn, "_r": reach, "cy": F.explode(F.sequence(F.col("cy") - 1, F.col("cy") + 1))}).withColumn("_n", parts(F.col("cy")))
-    low, high = F.floor((F.col("_t") - F.col("_r")) * F.col("_n")), F.floor((F.col("_t") + F.col("_r")) * F.col("_n"))
-    high = F.least(high, low + F.col("_n") - 1)
-    return df.withColumn("cx", F.explode(F.sequence(low, high))).withColumn("cx", F.pmod("cx", "_n")).drop("_t", "_r", "_n")
+    df = df.withColumns({"_turn": turn, "_reach": reach, "cy": F.explode(F.sequence(F.col("cy") - 1, F.col("cy") + 1))}).withColumn("_parts", parts(F.col("cy")))
+    low, high = F.floor((F.col("_turn") - F.col("_reach")) * F.col("_parts")), F.floor((F.col("_turn") + F.col("_reach")) * F.col("_parts"))
+    high = F.least(high, low + F.col("_parts") - 1)
+    return df.withColumn("cx", F.explode(F.sequence(low, high))).withColumn("cx", F.pmod("cx", "_parts")).drop("_turn", "_reach", "_parts")
 
 
 def near_pairs(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
     """All pairs within ``radius``: ``left_id, right_id, metres`` (both have ``id, lon, lat``).
 
+    The pairs are the answer here, and grow with the square of the density.
+
     Columns of ``left`` and ``right`` beyond these come along with their prefix.
     """
     a = cells(left, radius, False).withColumnsRenamed({c: f"left_{c}" for c in left.columns})
@@ -52,30 +56,73 @@ def near_pairs(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
     return a.join(b, ["cx", "cy"]).withColumn("metres", metres).where(F.col("metres") <= radius).drop("cx", "cy")
 
 
-def nearest(left: DataFrame, right: DataFrame, radius: float, n: int = 1, by: list[str] | None = None) -> DataFrame:
-    """Each left row's ``n`` nearest (for each value of ``by``), by metres, then id."""
-    pairs = near_pairs(left, right, radius)
-    w = Window.partitionBy("left_id", *(by or [])).orderBy("metres", "right_id")
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+def nearest(left: DataFrame, right: DataFrame, radius: float, n: int = 1, by: list[str] | None = None, levels: int = 12) -> DataFrame:
+    """Each left row's ``n`` nearest within ``radius`` (for each value of ``by``), by metres, then id.
+
+    ``by`` names columns of ``right`` with their prefix. Where a small cell alone holds ``n``
+    rows of a group, no place in it needs to look further than the cell is long, so every left
+    row searches each group in the narrowest of ``levels`` radii (each 0.71 of the one before)
+    that is sure to hold the answer, and pairs grow with the answers and not with the density.
+    Of equal places only the ``n`` least ids can be an answer. Equal left rows count once.
+    """
+    radii = [radius / 2 ** (i / 2) for i in range(levels)]
+    group = F.struct(*(F.col(c.removeprefix("right_")) for c in by)) if by else F.struct(F.lit(0).alias("all"))
+    r = right.withColumn("_g", group)
+    r = r.withColumn("_k", F.row_number().over(Window.partitionBy("_g", "lon", "lat").orderBy("id"))).where(F.col("_k") <= n).drop("_k")
+    # A cell of 0.7 of a radius is shorter than the radius from corner to corner, but where a row of cells has few parts.
+    step = F.explode(F.array(*(F.struct(F.lit(0.7 * x).alias("_t"), F.lit(x).alias("_r")) for x in radii[1:]))).alias("_s")
+    tests = r.select("_g", "lon", "lat", step).select("_g", "lon", "lat", "_s.*")
+    tests = tests.where(F.cos(F.radians("lat")) * 360 * geo.METRES_PER_DEGREE >= 250 * F.col("_t"))
+    full = cells(tests, F.col("_t"), False).groupBy("_g", "_t", "_r", "cx", "cy").agg(F.count("*").alias("_n")).where(F.col("_n") >= n).drop("_n")
+    widest = cells(r.select("_g", "lon", "lat"), radius, True).select("_g", F.lit(radius).alias("_t"), F.lit(radius).alias("_r"), "cx", "cy").distinct()
+    at = cells(left.withColumn("_t", F.explode(F.array(F.lit(radius), *(F.lit(0.7 * x) for x in radii[1:])))), F.col("_t"), False)
+    asked = at.join(full.unionByName(widest), ["_t", "cx", "cy"]).groupBy(*left.columns, "_g").agg(F.min("_r").alias("_r"))
+    return _ranked(_met(asked, r, radii, ["_g"]), n, ["_g"]).drop("_g")
+
+
+def _met(left: DataFrame, right: DataFrame, radii: list[float], also: list[str]) -> DataFrame:
+    """Pairs within the left row's own radius ``_r``, one of ``radii``, that agree in ``also``."""
+    keys = ["_r", "cx", "cy", *also]
+    a = cells(left, F.col("_r"), True)
+    a = a.withColumnsRenamed({c: f"left_{c}" for c in left.columns if c not in keys})
+    b = cells(right.withColumn("_r", F.explode(F.array(*map(F.lit, radii)))), F.col("_r"), False)
+    b = b.withColumnsRenamed({c: f"right_{c}" for c in right.columns if c not in keys})
+    metres = geo.flat_distance(F.col("left_lon"), F.col("left_lat"), F.col("right_lon"), F.col("right_lat"))
+    return a.join(b, keys).withColumn("metres", metres).where(F.col("metres") <= F.col("_r")).drop("cx", "cy")
+
+
+def _ranked(pairs: DataFrame, n: int, also: list[str]) -> DataFrame:
+    w = Window.partitionBy("left_id", *also).orderBy("metres", "right_id")
+    return pairs.drop("_r").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
 def snap(left: DataFrame, right: DataFrame, radii: list[float], band: float = 3.0, most: int = 8) -> DataFrame:
     """Candidates within ``band`` of the nearest, at most ``most``, in the first radius that has any.
 
-    The widest radius is joined once; a row's tier is the smallest that holds its nearest.
+    They are the first of the ``most`` nearest rows within the widest radius.
     """
-    pairs = near_pairs(left, right, max(radii))
-    w = Window.partitionBy("left_id")
-    pairs = pairs.withColumn("least", F.min("metres").over(w))
+    near = nearest(left, right, max(radii), most)
+    near = near.withColumn("least", F.min("metres").over(Window.partitionBy("left_id")))
     tier = F.coalesce(*(F.when(F.col("least") <= r, F.lit(float(r))) for r in sorted(radii)))
-    kept = pairs.where(F.col("metres") <= F.col("least") + band).withColumn("radius", tier).where("metres <= radius")
-    rank = F.row_number().over(w.orderBy("metres", "right_id"))
-    return kept.withColumn("rank", rank).where(F.col("rank") <= most)
+    return near.where(F.col("metres") <= F.col("least") + band).withColumn("radius", tier).where("metres <= radius")
+
+
+def widened(left: DataFrame, right: DataFrame, radii: list[float]) -> DataFrame:
+    """All pairs of each left row in the smallest of ``radii`` that holds any, with that radius as ``tier``.
+
+    The nearest row tells the radius, so no row is joined in a wider one. ``left`` has
+    ``id, lon, lat``; columns of ``right`` come along with their prefix.
+    """
+    slim = left.select("id", "lon", "lat")
+    least = nearest(slim, right.select("id", "lon", "lat"), max(radii)).select("left_id", "left_lon", "left_lat", "metres")
+    tier = F.coalesce(*(F.when(F.col("metres") <= r, F.lit(float(r))) for r in sorted(radii)))
+    asked = least.select(F.col("left_id").alias("id"), F.col("left_lon").alias("lon"), F.col("left_lat").alias("lat"), tier.alias("_r"))
+    return _met(asked, right, [float(r) for r in radii], []).withColumnRenamed("_r", "tier")
 
 
 def within(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
-    """Rows of ``left`` that have a right row within ``radius`` (a semi-join)."""
-    hit = near_pairs(left.select("id", "lon", "lat"), right.select("id", "lon", "lat"), radius).select(F.col("left_id").alias("id"))
+    """Rows of ``left`` that have a right row within ``radius`` (a semi-join on the nearest one)."""
+    hit = nearest(left.select("id", "lon", "lat"), right.select("id", "lon", "lat"), radius).select(F.col("left_id").alias("id"))
     return left.join(hit, "id", "left_semi")
 
 

@@ -196,12 +196,10 @@ with t as (select a.id, a.kind, case when min({metres("a", "b")}) <= 500 then 50
 select a.id, t.tier, count(*) as found from t join {PLACES} a on a.id = t.id join {PLACES} b on b.kind = 8 and {metres("a", "b")} <= t.tier group by 1, 2
 """)
 def widening_search(spark, d):
-    """The smallest of three radii that finds anything, from one join at the largest."""
+    """The smallest of three radii that finds anything, and how many it finds."""
     p = places(spark, d)
-    pairs = op.near_pairs(p.where("kind = 7"), p.where("kind = 8"), 5000.0)
-    tier = F.when(F.col("metres") <= 500, 500).when(F.col("metres") <= 1500, 1500).otherwise(5000)
-    pairs = pairs.withColumn("own", tier).withColumn("tier", F.min("own").over(Window.partitionBy("left_id")))
-    return pairs.where("own <= tier").groupBy(F.col("left_id").alias("id"), "tier").agg(F.count("*").alias("found"))
+    pairs = op.widened(p.where("kind = 7"), p.where("kind = 8"), [500.0, 1500.0, 5000.0])
+    return pairs.groupBy(F.col("left_id").alias("id"), F.col("tier").cast("int").alias("tier")).agg(F.count("*").alias("found"))
 
 
 @query(f"""

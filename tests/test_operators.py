@@ -262,3 +262,25 @@ def test_simplified_lines_and_forward_matches(spark):
 def test_numbered_is_a_total_order(spark):
     got = ways.numbered(spark.range(100).selectExpr("99 - id as v"), ["v"]).collect()
     assert {(r.v, r.nth) for r in got} == {(k, k) for k in range(100)}
+
+
+def test_nearest_in_crowds(spark):
+    """One place holds a third of all rows, others are crowded, far, at 180 degrees or near a pole."""
+    places = [(n, "a" if n % 3 else None, 7.0, 47.0) for n in range(60)]
+    places += [(100 + n, "b" if n % 2 else "a", 7.0 + n % 9 * 2e-4, 47.0 + n % 7 * 3e-4) for n in range(80)]
+    places += [(200 + n, "a", 179.999 + n * 4e-4 - (360 if n > 2 else 0), -16.0) for n in range(6)]
+    places += [(300 + n, "b", n * 60.0 - 180, 89.999) for n in range(6)]
+    places += [(400, "a", 20.0, 10.0), (401, "a", None, 10.0), (402, "b", 7.02, 47.0)]
+    df = spark.createDataFrame(places, "id long, kind string, lon double, lat double")
+    pair = spatial.near_pairs(df, df, 2000.0).select("left_id", "right_id", "right_kind", "metres").collect()
+    for n, by in ((1, None), (3, None), (4, ["right_kind"])):
+        groups = {}
+        for r in pair:
+            groups.setdefault((r.left_id, r.right_kind if by else 0), []).append((r.metres, r.right_id))
+        want = {(k[0], m[1], i + 1) for k, v in groups.items() for i, m in enumerate(sorted(v)[:n])}
+        got = [(r.left_id, r.right_id, r["rank"]) for r in spatial.nearest(df, df, 2000.0, n, by).collect()]
+        assert len(got) == len(want) and set(got) == want
+    wide = spatial.widened(df.where("id = 402"), df.where("id < 200"), [100.0, 1500.0, 2000.0]).collect()
+    assert {r.right_id for r in wide} == {r.right_id for r in pair if r.left_id == 402 and r.right_id < 200 and r.metres <= 1500}
+    assert {r.tier for r in wide} == {1500.0}
+    assert {r.id for r in spatial.within(df, df.where("id = 402"), 2000.0).collect()} == {r.left_id for r in pair if r.right_id == 402}
