@@ -27,14 +27,14 @@ def all_words(queries: DataFrame, terms: DataFrame) -> DataFrame:
     """``query, id`` of names that hold all words of a query, the last one as a prefix.
 
     ``queries`` has ``query`` in normal form. A word meets its term by an equal join; the
-    last one meets terms by each term's prefixes.
+    last one meets terms by each term's prefixes. A query without words finds nothing.
     """
     asked = queries.select("query", F.array_distinct(fn.words(F.col("query"))).alias("w"))
     # Prefixes are made of distinct terms only, which are far fewer than rows.
     distinct = terms.select("term").distinct()
     prefixes = distinct.select("term", F.explode(F.transform(F.sequence(F.lit(1), F.length("term")), lambda n: F.substring("term", F.lit(1), n))).alias("part"))
-    last = asked.select("query", F.element_at("w", -1).alias("part"), F.size("w").alias("n"), (F.size("w") - 1).alias("place"))
-    first = asked.select("query", F.posexplode(F.slice("w", F.lit(1), F.size("w") - 1)).alias("place", "term"), F.size("w").alias("n"))
+    last = asked.select("query", F.try_element_at("w", F.lit(-1)).alias("part"), F.size("w").alias("n"), (F.size("w") - 1).alias("place"))
+    first = asked.select("query", F.posexplode(F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0)))).alias("place", "term"), F.size("w").alias("n"))
     meets = first.select("query", "place", "term", "n").unionByName(last.join(prefixes, "part").select("query", "place", "term", "n"))
     hits = meets.join(terms, "term").groupBy("query", "id", "n").agg(F.count_distinct("place").alias("found"))
     return hits.where("found = n").select("query", "id")
@@ -93,3 +93,28 @@ def house_numbers(queries: DataFrame, streets: DataFrame, houses: DataFrame) ->
     exact = at.join(houses.distinct(), ["street", "house"]).select("query", "street", "house", F.lit(None).cast("string").alias("note"))
     rest = at.join(exact.select("query").distinct(), "query", "left_anti")
     return exact.unionByName(rest.select("query", "street", F.lit(None).cast("string").alias("house"), F.lit("number not found").alias("note")))
+
+
+def resolved(queries: DataFrame, names: DataFrame, limit: int) -> DataFrame:
+    """``query, id, read_as, score, rank``: the best ``limit`` rows of each request.
+
+    Names that hold all words come first to hand. A request without any is read again, each
+    word as the nearest term within its budget of edits (if there is one), and its rows score as
+    corrected ones. ``queries`` has ``query``; ``names`` has ``id, name, km, prominence``, both
+    texts in normal form. A request that still finds nothing has no row.
+    """
+    terms = index_terms(names, "id", "name")
+    exact = all_words(queries.select("query").distinct(), terms)
+    rest = queries.select("query").distinct().join(exact.select("query").distinct(), "query", "left_anti")
+    each = rest.select("query", F.posexplode(fn.words(F.col("query"))).alias("place", "word"))
+    fix = corrections(each.select(F.col("word").alias("query")).distinct(), lexicon(terms), 1)
+    fixed = each.join(fix.select(F.col("query").alias("word"), "term", "edits"), "word", "left")
+    read = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", F.coalesce("term", "word").alias("w")))), lambda x: x["w"]), " ")
+    fixed = fixed.groupBy("query").agg(read.alias("read_as"), F.sum(F.coalesce("edits", F.lit(0))).alias("edits"))
+    again = all_words(fixed.select(F.col("read_as").alias("query")).distinct(), terms).withColumnRenamed("query", "read_as")
+    again = again.join(fixed, "read_as").select("query", "id", "read_as", "edits", F.lit("fuzzy").alias("kind"))
+    hits = exact.select("query", "id", F.col("query").alias("read_as"), F.lit(0).cast("long").alias("edits"), F.lit(None).cast("string").alias("kind"))
+    hits = hits.unionByName(again).join(names, "id")
+    kind = F.coalesce("kind", tier(F.col("query"), F.col("name")))
+    hits = hits.withColumn("score", score(kind, F.col("edits"), F.col("km"), F.col("prominence")))
+    return ranked(hits, "query", limit).select("query", "id", "read_as", "score", "rank")

@@ -160,3 +160,25 @@ def budget_cells(points: DataFrame, depth: int, most: int) -> DataFrame:
     up = sizes.select((F.col("level") - 1).alias("level"), F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("size").alias("_size"))
     at = sizes.withColumns({"_x": F.shiftright("x", 1), "_y": F.shiftright("y", 1)}).join(up, ["level", "_x", "_y"], "left")
     return at.where(((F.col("size") <= most) | (F.col("level") == 0)) & (F.col("_size").isNull() | (F.col("_size") > most))).select("level", "x", "y", "size")
+
+
+def clipped(lines: DataFrame, box: tuple[float, float, float, float]) -> DataFrame:
+    """``id, part, n, ax, ay, bx, by``: what of each segment ``n`` lies in a box, in parts that go on without a gap.
+
+    ``lines`` has ``id, points`` (structs ``x, y``); the box is ``west, south, east, north``.
+    What only touches the box is left out. A line's segments are one window.
+    """
+    s = segments(lines)
+    enter, leave = [F.lit(0.0)], [F.lit(1.0)]
+    for axis, low, high in (("x", box[0], box[2]), ("y", box[1], box[3])):
+        a = F.col(f"a.{axis}")
+        way = F.col(f"b.{axis}") - a
+        ends = (F.lit(low) - a) / F.nullif(way, F.lit(0.0)), (F.lit(high) - a) / F.nullif(way, F.lit(0.0))
+        enter.append(F.when(way != 0, F.least(*ends)).when(a.between(low, high), 0.0).otherwise(2.0))
+        leave.append(F.when(way != 0, F.greatest(*ends)).otherwise(1.0))
+    s = s.withColumn("_in", F.greatest(*enter)).withColumn("_out", F.least(*leave)).where("_in < _out")
+    w = Window.partitionBy("id").orderBy("n")
+    goes_on = (F.col("_in") == 0) & (F.lag("_out").over(w) == 1) & (F.lag("n").over(w) == F.col("n") - 1)
+    s = s.withColumn("_new", F.when(goes_on, 0).otherwise(1)).withColumn("part", F.sum("_new").over(w))
+    at = lambda axis, t: F.col(f"a.{axis}") + (F.col(f"b.{axis}") - F.col(f"a.{axis}")) * F.col(t)
+    return s.select("id", "part", "n", at("x", "_in").alias("ax"), at("y", "_in").alias("ay"), at("x", "_out").alias("bx"), at("y", "_out").alias("by"))

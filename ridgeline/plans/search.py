@@ -11,6 +11,7 @@ from ..operators import search as op
 NAMES = "(select p_partkey as id, lower(replace(p_name || ' ' || p_brand || ' ' || p_type, '#', ' ')) as name, p_size, p_retailprice from part)"
 #: Asked for: words of a name, the last one possibly cut off.
 ASKED = ("small ring", "blue bolt brand 4", "red wid", "gear brand 1", "hot gizmo brand 13 eco")
+REQUESTS = ("small ring", "smal ring", "blue bolt brand 4", "red wdiget", "hot gizom economy", "brnad 1 stadnard", "nothing alike")
 WRONG = ("wdiget", "gizom", "brnad", "econmoy", "smal", "stadnard", "promoo")
 
 
@@ -29,13 +30,19 @@ def values(v) -> str:
 
 
 WORDS = f"(select distinct id, unnest(string_split(name, ' ')) as term from {NAMES})"
-HITS = f"""(with q as (select query, string_split(query, ' ') as w from (values {values(ASKED)}) v(query)),
+
+def hits(source: str) -> str:
+    """Names that hold all words of ``text``, the last as a prefix, of a source ``query, text``."""
+    return f"""(with q as (select query, string_split(text, ' ') as w from {source}),
     p as (select query, len(w) as n, unnest(range(1, len(w) + 1)) as place, unnest(w) as word from q),
     h as (select query, n, id, count(distinct place) as found from p join {WORDS} t
         on (place < n and term = word) or (place = n and starts_with(term, word)) group by 1, 2, 3)
     select query, id from h where found = n)"""
 
 
+HITS = hits(f"(select query, query as text from (values {values(ASKED)}) v(query))")
+
+
 @query("""
 select doc_id, md5(trim(regexp_replace(strip_accents(replace(lower(text), 'ß', 'ss')), '[^\\p{L}\\p{N}]+', ' ', 'g'))) as normal_md5 from documents
 """)
@@ -125,3 +132,27 @@ def common_terms(spark, d):
     found = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))
     w = table(spark, d, "documents").select(F.explode(found).alias("term"))
     return w.groupBy("term").agg(F.count("*").alias("docs")).orderBy(F.desc("docs"), "term").limit(100)
+
+
+@query(f"""
+with a as (select query, query as text from (values {values(REQUESTS)}) v(query)),
+h as materialized {hits("a")},
+w as (select query, unnest(range(1, len(string_split(query, ' ')) + 1)) as place, unnest(string_split(query, ' ')) as word from a where query not in (select query from h)),
+l as (select distinct term from {WORDS} where length(term) between 5 and 80),
+e as (select query, place, term, damerau_levenshtein(word, term)::int as edits from w, l
+    where damerau_levenshtein(word, term) <= case when length(word) < 5 then 0 when length(word) < 8 then 1 else 2 end),
+b as (select query, place, arg_min(term, (edits, term)) as term, min(edits) as edits from e group by 1, 2),
+f as materialized (select w.query, string_agg(coalesce(term, word), ' ' order by place) as text, sum(coalesce(edits, 0)) as edits from w left join b using (query, place) group by 1),
+c as (select query, id, query as read_as, 0 as edits, false as fuzzy from h
+    union all select query, id, text, edits, true from {hits("f")} join f using (query)),
+s as (select c.query, c.id, read_as, case when fuzzy then 58 when name = query then 100 when replace(name, ' ', '') = replace(query, ' ', '') then 98
+        when starts_with(name, query) then 88 else 74 end - 8 * edits + 12 / (1 + p_size / 20.0::double) + least((p_retailprice - 900) / 20, 8) as score
+    from c join {NAMES} n on n.id = c.id),
+r as (select *, row_number() over (partition by query order by score desc, id) as rank from s)
+select query, id, read_as, round(score, 9) as score, rank from r where rank <= 10
+""")
+def place_search(spark, d):
+    """Requests to ranked rows: all words, else corrected words, then scores."""
+    n = names(spark, d).select("id", "name", F.col("p_size").alias("km"), ((F.col("p_retailprice") - 900) / 20).alias("prominence"))
+    out = op.resolved(asked(spark, REQUESTS), n, 10)
+    return out.select("query", "id", "read_as", F.round("score", 9).alias("score"), "rank")

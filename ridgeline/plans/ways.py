@@ -184,3 +184,29 @@ def paused_climb(spark, d):
     s = series.gathered(s.select("user_id", "part", F.struct("t", "event_id").alias("at"), "value"), ["user_id", "part"], "at", ["value"])
     up = series.dead_band(F.transform("series", lambda x: x["value"]), 30.0)["up"]
     return s.select("user_id", up.alias("up")).groupBy("user_id").agg(F.round(F.sum("up"), 4).alias("up"), F.count("*").alias("parts"))
+
+
+#: West, south, east and north of a part of the plane.
+WINDOW = (10_100.5, 5_000.0, 40_000.0, 25_020.5)
+
+
+def _ends_sql(axis: str, low: float, high: float) -> tuple[str, str]:
+    ends = f"({low}::double - a{axis}) / d{axis}, ({high}::double - a{axis}) / d{axis}"
+    inside = f"when a{axis} between {low} and {high} then 0 else 2"
+    return f"case when d{axis} <> 0 then least({ends}) {inside} end", f"case when d{axis} <> 0 then greatest({ends}) else 1 end"
+
+
+CLIPS = [_ends_sql("x", WINDOW[0], WINDOW[2]), _ends_sql("y", WINDOW[1], WINDOW[3])]
+
+
+@query(f"""
+with s as (select id, n, x as ax, y as ay, lead(x) over w - x as dx, lead(y) over w - y as dy from {DIRECTED} window w as (partition by id order by n)),
+t as (select *, greatest(0, {CLIPS[0][0]}, {CLIPS[1][0]}) as i, least(1, {CLIPS[0][1]}, {CLIPS[1][1]}) as o from s where dx is not null),
+k as (select *, coalesce(i = 0 and lag(o) over w = 1 and lag(n) over w = n - 1, false) as goes_on from t where i < o window w as (partition by id order by n))
+select id, sum((not goes_on)::int) over (partition by id order by n)::bigint as part, n::int as n,
+    round(ax + dx * i, 6) as ax, round(ay + dy * i, 6) as ay, round(ax + dx * o, 6) as bx, round(ay + dy * o, 6) as by from k
+""")
+def clipped_lines(spark, d):
+    """The parts of lines that lie in a box."""
+    out = op.clipped(lines(spark, d).select("id", "points"), WINDOW)
+    return out.select("id", "part", "n", *(F.round(c, 6).alias(c) for c in ("ax", "ay", "bx", "by")))

@@ -284,3 +284,29 @@ def test_nearest_in_crowds(spark):
     assert {r.right_id for r in wide} == {r.right_id for r in pair if r.left_id == 402 and r.right_id < 200 and r.metres <= 1500}
     assert {r.tier for r in wide} == {1500.0}
     assert {r.id for r in spatial.within(df, df.where("id = 402"), 2000.0).collect()} == {r.left_id for r in pair if r.right_id == 402}
+
+
+def test_clipped_lines_leave_and_come_back(spark):
+    rows = [
+        (1, [(-5.0, 5.0), (5.0, 5.0), (5.0, 15.0), (7.0, 15.0), (7.0, 5.0)]),  # in, out above, back again
+        (2, [(-5.0, 10.0), (5.0, 10.0)]),  # along the border
+        (3, [(-5.0, 5.0), (5.0, 15.0)]),  # touches a corner only
+        (4, [(1.0, 1.0), (1.0, 1.0), (2.0, 2.0)]),  # a point said twice
+        (5, []), (6, None),
+    ]
+    df = spark.createDataFrame(rows, "id int, points array<struct<x:double,y:double>>")
+    got = {(r.id, r.part, r.n): (r.ax, r.ay, r.bx, r.by) for r in ways.clipped(df, (0.0, 0.0, 10.0, 10.0)).collect()}
+    assert got == {
+        (1, 1, 0): (0, 5, 5, 5), (1, 1, 1): (5, 5, 5, 10), (1, 2, 3): (7, 10, 7, 5), (2, 1, 0): (0, 10, 5, 10),
+        (4, 1, 0): (1, 1, 1, 1), (4, 1, 1): (1, 1, 2, 2),
+    }
+
+
+def test_resolved_reads_a_request_again_only_if_nothing_is_found(spark):
+    names = spark.createDataFrame([(1, "green valley", 0.0, 1.0), (2, "green vallon", 20.0, 1.0), (3, "old mill", 5.0, None)], "id long, name string, km double, prominence double")
+    q = spark.createDataFrame([("green val",), ("grene valley",), ("mill",), ("nowhere",), ("",), ("mill",)], "query string")
+    got = {(r.query, r.id): (r.read_as, r["rank"], r.score) for r in search.resolved(q, names, 5).collect()}
+    assert {k: v[:2] for k, v in got.items()} == {
+        ("green val", 1): ("green val", 1), ("green val", 2): ("green val", 2), ("grene valley", 1): ("green valley", 1), ("mill", 3): ("mill", 1),
+    }
+    assert got["grene valley", 1][2] == 58 - 8 + 12 + 1
