@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, minhash_dedup, mixing, packing, quality_classifier, secret_ledger, sharding, url_rules, vector_graph, warc
+from . import ball_clusters, embedding_dedup, minhash_dedup, mixing, packing, quality_classifier, secret_ledger, sharding, spelling_variants, token_counts
+from . import url_rules, vector_graph, warc
 from . import sql
 from ._store import new_path
 
@@ -79,6 +80,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")).drop("ids")
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.variants(spelling_variants.words(table(spark, sf_dir, "documents")))
+
+
+def op13_ball_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_clusters.cluster(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_vector_graph,
@@ -91,6 +104,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_source_mix,
         op9_secret_ledger,
         op10_packing,
+        op11_token_counts,
+        op12_spelling_variants,
+        op13_ball_clusters,
     ]
     return {f.__name__: f for f in found}
 

@@ -209,6 +209,60 @@ select page_id, record_id, warc_type, refers_to, url as target_uri, content_type
 from o
 """
 
+# Words as the documents have them after the deletions, and their neighbours by deleting one
+# character of either word (a deletion) or of both at the same place (a replacement).
+SPELLING = f"""
+with recursive bits(v, c, k) as (
+    select i, i::bigint, 0 from range(256) t(i)
+    union all select v, case when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, k + 1 from bits where k < 8
+), m as (select list(c order by v) as m from bits where k = 8
+), e as (select doc_id, unnest(regexp_extract_all({LOWERED}, '[a-z\u00C0-\u00FF]+')) as run from documents
+), r as (select coalesce(doc_id::varchar, '') || ':' || run as k, run, count(*) as n from e where length(run) >= 5 group by 1, 2
+), h as (
+    select run, n, xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(range(0, strlen(k)), lambda i: ('0x' || substr(hex(k), 2 * i + 1, 2))::bigint)),
+        lambda c, x: xor(c >> 8, m[(xor(c, x) & 255) + 1]))) as h
+    from r, m
+), x as (select case when h % 97 = 0 then substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) else run end as word, n from h
+), w as materialized (select word, sum(n)::bigint as n from x group by 1 having sum(n) >= 3 and length(word) >= 5
+), g as materialized (select word, i, substr(word, 1, i - 1) || substr(word, i + 1) as g from (select word, unnest(range(1, length(word) + 1)) as i from w)
+), p as (
+    select word as a, g as b from g where g in (select word from w)
+    union select g, word from g where g in (select word from w)
+    union select x.word, y.word from g x join g y on x.i = y.i and x.g = y.g and x.word <> y.word
+), t as (select a as word, count(*) as n_near, first(b order by n desc, b) as b, max(n) as bn from p join w on w.word = p.b group by 1
+), f as materialized (
+    select w.word, w.n, coalesce(n_near, 0) as n_near, case when bn >= 2 * w.n then b end as form, case when bn >= 2 * w.n then bn end as form_n
+    from w left join t using (word)
+), c(word, here) as (select word, word from f union all select c.word, f.form from c join f on f.word = c.here where f.form is not null)
+select f.word, form, c.here as root, n, n_near, form_n from f join c on c.word = f.word
+where c.here in (select word from f where form is null)
+"""
+
+
+def _clusters(count: int = 40, rounds: int = 5) -> str:
+    """Every round as a step: distances to all centroids, the nearest, and the floors of the means."""
+    steps = [
+        """v as materialized (
+    select row_number() over () as rid, vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as x from embeddings
+    where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+)""",
+        f"c0 as materialized (select row_number() over (order by h) - 1 as k, x as c from (select sha256('2:' || vec_id) as h, x from v where vec_id is not null order by h limit {count}))",
+    ]
+    for n in range(rounds + 1):
+        far = "list_inner_product(x, x) - 2 * list_inner_product(x, c) + list_inner_product(c, c)"
+        steps.append(f"a{n} as materialized (select rid, arg_min(k, [d, k]) as k, min(d)::bigint as d from (select rid, k, {far} as d from v, c{n}) group by 1)")
+        if n < rounds:
+            steps.append(f"""c{n + 1} as materialized (
+    select k, coalesce(m.c, o.c) as c from c{n} o left join (
+        select k, list(s order by i) as c from (select k, i, floor(sum(x[i]) / count(*)) as s from a{n} join v using (rid), range(1, 65) r(i) group by 1, 2) group by 1
+    ) m using (k))""")
+    return "with " + ", ".join(steps) + f"""
+select vec_id, k::int as cluster, d as distance, (sum(d) over (partition by k))::bigint as cluster_inertia, (sum(d) over ())::bigint as inertia,
+    sha256(array_to_string(list_transform(c, lambda x: x::bigint), ',')) as centroid_sha256
+from a{rounds} join v using (rid) join c{rounds} using (k)
+"""
+
+
 ORACLES = {
     "op2_warc_derivatives": WARC,
     "op4_minhash_dedup": DEDUP,
@@ -216,4 +270,6 @@ ORACLES = {
     "op6_byte_shards": SHARDS,
     "op8_source_mix": MIX,
     "op9_secret_ledger": SECRETS,
+    "op12_spelling_variants": SPELLING,
+    "op13_ball_clusters": _clusters(),
 }
