@@ -63,25 +63,33 @@ def simplified(xs: pd.Series, ys: pd.Series, most: pd.Series) -> pd.Series:
 
 
 def numbers_along(ranges: DataFrame, most: int = 600) -> DataFrame:
-    """``id, number, x, y``: house numbers of a range, spread evenly along a line (``points``).
+    """``id, number, x, y``: the house numbers inside a range, at their share of the way along a line (``points``).
 
-    ``ranges`` has ``id, first, last, step, points``. Ranges of ``most`` numbers or more, of no
-    length or of a step below 1 give none. The first number stands at the line's begin.
+    ``ranges`` has ``id, first, last, kind, points``: the numbers at the line's begin and end, rising or
+    falling, and ``odd``, ``even``, ``all`` or a step of one digit. The end numbers themselves are
+    known houses and not given. A range whose ends are no more than a step apart, whose inner
+    numbers span ``most`` or more, of another kind, or with a null end gives none.
     """
-    count = F.floor((F.col("last") - F.col("first")) / F.col("step")) + 1
-    good = ranges.where((F.col("step") >= 1) & (F.col("last") >= F.col("first")) & (F.size("points") >= 2)).withColumn("count", count)
-    good = good.where((F.col("count") >= 2) & (F.col("count") < most))
+    kind = F.col("kind")
+    parity = kind.isin("odd", "even")
+    step = F.when(parity, 2).when(kind == "all", 1).when(kind.rlike("^[1-9]$"), kind.try_cast("int"))
+    low, high = F.least("first", "last"), F.greatest("first", "last")
+    next_ = low + F.when(parity, 1).otherwise(F.col("step"))
+    wrong = (parity & (F.pmod(next_, F.lit(2)) != F.when(kind == "odd", 1).otherwise(0))).cast("int")
+    good = ranges.withColumn("step", step).where(F.col("first").isNotNull() & F.col("last").isNotNull() & (F.size("points") >= 2)).withColumn("from_", next_ + wrong)
+    good = good.withColumn("to_", F.col("from_") + F.floor((high - 1 - F.col("from_")) / F.col("step")) * F.col("step"))
+    good = good.where((F.abs(F.col("last") - F.col("first")) > F.col("step")) & (F.col("to_") >= F.col("from_")) & (F.col("to_") - F.col("from_") < most))
     s = good.select("id", F.posexplode(geo.segments(F.col("points"))).alias("n", "s")).withColumn("size", geo.planar(F.col("s.a"), F.col("s.b")))
     w = Window.partitionBy("id").orderBy("n")
     s = s.withColumn("to", F.sum("size").over(w)).withColumn("from", F.col("to") - F.col("size")).withColumn("whole", F.max("to").over(Window.partitionBy("id")))
-    numbers = good.select("id", "first", "step", "count", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1)).alias("k"))
-    place = F.col("whole") * F.col("k") / (F.col("count") - 1)
-    inside = (place <= F.col("to")) & ((place > F.col("from")) | ((F.col("k") == 0) & (F.col("n") == 0)))
-    # The last number may miss the line's end by rounding; it belongs to the last segment.
-    met = numbers.join(s, "id").withColumn("place", F.least(place, F.col("whole"))).where(inside)
+    numbers = good.select("id", "first", "last", F.explode(F.sequence("from_", "to_", "step")).alias("number"))
+    # Counted from the end of the first number, whichever way the numbers go.
+    place = F.col("whole") * F.abs(F.col("number") - F.col("first")) / F.abs(F.col("last") - F.col("first"))
+    inside = (place <= F.col("to")) & ((place > F.col("from")) | ((place == 0) & (F.col("n") == 0)))
+    met = numbers.join(s, "id").withColumn("place", place).where(inside)
     share = (F.col("place") - F.col("from")) / F.nullif(F.col("size"), F.lit(0.0))
     lerp = lambda c: F.col(f"s.a.{c}") + (F.col(f"s.b.{c}") - F.col(f"s.a.{c}")) * F.coalesce(share, F.lit(0.0))
-    return met.select("id", (F.col("first") + F.col("k") * F.col("step")).alias("number"), lerp("x").alias("x"), lerp("y").alias("y"))
+    return met.select("id", "number", lerp("x").alias("x"), lerp("y").alias("y"))
 
 
 @F.pandas_udf(ArrayType(IntegerType()))

@@ -54,21 +54,23 @@ def simplified_lines(spark, d):
 
 
 @query(f"""
-with g as (select vec_id as id, vec_id % 50 * 2 + 1 as first, vec_id % 50 * 2 + 1 + vec_id % 9 * 2 as last, 1 + vec_id % 2 as step from embeddings),
-c as (select *, (last - first) // step + 1 as count from g),
+with g as (select vec_id as id, vec_id % 50 + 1 as first, vec_id % 50 + 1 + (vec_id % 13 - 6) * 3 as last, ['all', 'odd', 'even', '3'][vec_id % 4 + 1] as kind from embeddings),
+h as (select *, least(first, last) as low, greatest(first, last) as high, case kind when 'all' then 1 when '3' then 3 else 2 end as step from g),
+c as (select *, case when kind in ('all', '3') then low + step when (low % 2 <> 0) = (kind = 'odd') then low + 2 else low + 1 end as f from h where abs(last - first) > step),
 s as (select id, n, x, y, lead(x) over w as qx, lead(y) over w as qy from {DIRECTED} window w as (partition by id order by n)),
 l as (select *, sqrt((qx - x) ** 2 + (qy - y) ** 2) as size from s where qx is not null),
 m as (select *, sum(size) over (partition by id order by n) as upto, sum(size) over (partition by id) as whole from l),
-k as (select *, unnest(range(count)) as k from c where count >= 2),
-q as (select k.id, first + k * step as number, whole * k / (count - 1) as place, m.* exclude (id) from k join m using (id)),
+k as (select *, unnest(range(f, high, step)) as number from c),
+q as (select k.id, number, whole * abs(number - first) / abs(last - first) as place, m.* exclude (id) from k join m using (id)),
 r as (select *, row_number() over (partition by id, number order by n) as nth from q where place <= upto + 1e-6)
 select id, number, round(x + (qx - x) * (place - upto + size) / size, 3) as x, round(y + (qy - y) * (place - upto + size) / size, 3) as y from r where nth = 1
 """)
 def numbers_along(spark, d):
-    """House numbers spread along lines, of all numbers or of every second one."""
+    """House numbers inside rising and falling ranges, spread along lines."""
     i, line = F.col("id"), lines(spark, d)
-    first = i % 50 * 2 + 1
-    ranges = line.select("id", first.alias("first"), (first + i % 9 * 2).alias("last"), (1 + i % 2).alias("step"), "points")
+    first = i % 50 + 1
+    kind = F.element_at(F.array(*(F.lit(k) for k in ("all", "odd", "even", "3"))), (i % 4 + 1).cast("int"))
+    ranges = line.select("id", first.alias("first"), (first + (i % 13 - 6) * 3).alias("last"), kind.alias("kind"), "points")
     return op.numbers_along(ranges).select("id", "number", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
 
 

@@ -27,12 +27,22 @@ def read_osm(spark: SparkSession, path: str, kind: str) -> DataFrame:
 
 
 def way_lines(ways: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``id, tags, line``: each way's known nodes in order."""
+    """``id, tags, line, missing, closed`` of every way: its known nodes in order, and how many are not known.
+
+    ``closed`` says that a way of four nodes or more ends where it begins. A way none of whose
+    nodes is known has an empty line, so no way is lost; a closed one with missing nodes is no
+    whole ring.
+    """
     refs = ways.select("id", F.posexplode("nd").alias("place", "nd"))
     at = nodes.select(F.col("id").alias("ref"), F.struct(F.col("_lon").alias("lon"), F.col("_lat").alias("lat")).alias("point"))
-    met = refs.join(at, F.col("nd._ref") == F.col("ref"))
-    lines = met.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("place", "point"))).alias("l"))
-    return ways.select("id", "tags").join(lines.select("id", F.col("l.point").alias("line")), "id")
+    met = refs.join(at, F.col("nd._ref") == F.col("ref"), "left")
+    known = F.collect_list(F.when(F.col("point").isNotNull(), F.struct("place", "point")))
+    lines = met.groupBy("id").agg(F.array_sort(known)["point"].alias("line"), F.count_if(F.col("point").isNull()).alias("missing"))
+    closed = (F.size("nd") >= 4) & (F.element_at("nd", 1)["_ref"] == F.element_at("nd", -1)["_ref"])
+    none = F.array().cast(lines.schema["line"].dataType)
+    return ways.select("id", "tags", F.coalesce(closed, F.lit(False)).alias("closed")).join(lines, "id", "left").select(
+        "id", "tags", F.coalesce("line", none).alias("line"), F.coalesce("missing", F.lit(0)).alias("missing"), "closed"
+    )
 
 
 def read_envelopes(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:

@@ -25,6 +25,7 @@ def test_osm_lines_skip_missing_nodes(spark, tmp_path):
     nodes, ways = (files.read_osm(spark, str(tmp_path), k) for k in ("node", "way"))
     (row,) = files.way_lines(ways, nodes).collect()
     assert row.tags == {"highway": "path"} and [(p.lon, p.lat) for p in row.line] == [(2.5, 1.5), (2.0, 1.0)]
+    assert row.missing == 1 and not row.closed
 
 
 def test_malformed_lines_are_kept_apart(spark, tmp_path):
