@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..catalog import query, table
-from ..operators import series
+from ..operators import overlaps, series
 from ..operators import ways as op
 from .lines import POINTS, lines
 from .places import PLACES, places
@@ -212,3 +212,28 @@ def clipped_lines(spark, d):
     """The parts of lines that lie in a box."""
     out = op.clipped(lines(spark, d).select("id", "points"), WINDOW)
     return out.select("id", "part", "n", *(F.round(c, 6).alias(c) for c in ("ax", "ay", "bx", "by")))
+
+
+#: Areas of four corners about the third vertex of every fifth line, some large.
+CORNERS = ((-1, -1), (2, -0.5), (1, 1), (-0.5, 2))
+
+
+@query(f"""
+with p as (select id, n, x::double as x, y::double as y from {DIRECTED}), c as (select id as area, x, y, (50 + id % 40 * 60)::double as w from p where n = 2 and id % 5 = 0),
+r as (select area, k, x + w * [{', '.join(f"{x}::double" for x, _ in CORNERS)}][k] as x, y + w * [{', '.join(f"{y}::double" for _, y in CORNERS)}][k] as y from c, range(1, 5) t(k)),
+e as materialized (select r.area, r.x as sx, r.y as sy, s.x as tx, s.y as ty from r join r s on s.area = r.area and s.k = r.k % 4 + 1),
+v as (select id, n, x as px, y as py, lead(x) over w as qx, lead(y) over w as qy from p window w as (partition by id order by n)),
+h as (select distinct area, id as line from e, v where qx is not null
+    and greatest(sx, tx) >= least(px, qx) and greatest(px, qx) >= least(sx, tx) and greatest(sy, ty) >= least(py, qy) and greatest(py, qy) >= least(sy, ty)
+    and sign((tx - sx) * (py - sy) - (ty - sy) * (px - sx)) * sign((tx - sx) * (qy - sy) - (ty - sy) * (qx - sx)) <= 0
+    and sign((qx - px) * (sy - py) - (qy - py) * (sx - px)) * sign((qx - px) * (ty - py) - (qy - py) * (tx - px)) <= 0),
+i as (select area, id as line from e, v where n = 0 and (sy > py) <> (ty > py) and px < (tx - sx) * (py - sy) / (ty - sy) + sx group by 1, 2 having count(*) % 2 = 1)
+select area, line from h union select area, line from i
+""")
+def areas_meeting_lines(spark, d):
+    """Areas with the lines that cross or lie in them."""
+    line = lines(spark, d)
+    w, at = (F.lit(50) + F.col("id") % 40 * 60).cast("double"), F.col("points")[2]
+    corner = lambda x, y: F.struct((at["x"] + w * float(x)).alias("x"), (at["y"] + w * float(y)).alias("y"))
+    areas = line.where("id % 5 = 0").select(F.col("id").alias("area"), F.array(*(corner(*c) for c in CORNERS)).alias("ring"))
+    return overlaps.meeting(areas, line, 500.0)
