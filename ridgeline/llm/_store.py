@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -13,8 +14,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text, and rows, that a task works on at once; a longer text is worked on alone.
 TEXT_BYTES, TEXT_ROWS = 4 << 20, 512
-#: Folders that ``materialize`` and ``new_path`` made within the open ``temporary`` blocks.
-_open: list[list[str]] = []
+#: Folders that ``materialize`` and ``new_path`` made within a thread's open ``temporary`` blocks.
+_threads = threading.local()
+
+
+def _open() -> list[list[str]]:
+    """The folders of each open block of this thread, the innermost last."""
+    if not hasattr(_threads, "blocks"):
+        _threads.blocks = []
+    return _threads.blocks
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,8 +47,8 @@ def shared_dir(spark: SparkSession) -> str:
 def new_path(spark: SparkSession, kind: str = "ridgeline") -> str:
     """A new folder's name within the shared one, deleted with the open ``temporary`` block."""
     path = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
-    if _open:
-        _open[-1].append(path)
+    if blocks := _open():
+        blocks[-1].append(path)
     return path
 
 
@@ -79,17 +87,16 @@ def unused(df: DataFrame, name: str) -> str:
 
 @contextmanager
 def temporary(spark: SparkSession) -> Iterator[None]:
-    """Delete at the end all tables that operators wrote within the block.
+    """Delete at the end all tables that operators wrote within the block, in its thread.
 
     Results are lazy and read such tables, so write or collect them inside the block.
     """
-    made: list[str] = []
-    _open.append(made)
+    blocks = _open()
+    blocks.append([])
     try:
         yield
     finally:
-        _open.remove(made)
-        for path in made:
+        for path in blocks.pop():
             delete(spark, path)
 
 

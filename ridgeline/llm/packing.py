@@ -28,7 +28,7 @@ from ._store import pieces
 
 #: Tokens that a round packs together, and the words whose ids a worker remembers.
 ROUND, REMEMBERED = 1 << 20, 700_000
-#: Bytes of text that a task has at least, on average: some 500 sequences, of which one is padded.
+#: Bytes of text, and four for each row, that a task has at least, on average: some 500 sequences, of which one is padded.
 TASK_BYTES = 4 << 20
 END = np.array([1], "<u4").tobytes()
 
@@ -206,6 +206,7 @@ def pack(
     other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    # A row is a token at least, also without a text, and a token some four bytes.
+    size = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 4)).first()[0] or 0
     # No effect where there are fewer partitions already.
     return rows.coalesce(max(1, math.ceil(size / TASK_BYTES))).mapInArrow(_packed(path, capacity), SCHEMA)

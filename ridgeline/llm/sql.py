@@ -174,6 +174,8 @@ def _uuid(parts: str) -> str:
 QUOTES = "trim(t, chr(34) || chr(39))"
 LINES = ("'HTTP/1.1 200 OK'", "'Content-Type: text/html; charset=utf-8'", "'Content-Length: ' || size")
 TARGET = _decoded(QUOTES)
+SEEN = _replaced("html", (("(?is)<(?:script|style)\\b.*?</(?:script|style)\\s*>", " "), ("(?s)<!--.*?-->", " ")))
+LINKS = f"""regexp_extract_all({SEEN}, '(?i)<a(?:\\s[^>]*?)?\\shref=\\s*("[^"]*"|''[^'']*''|[^\\s>"'']*)', 1)"""
 WARC = f"""
 with entities as materialized (select map([{", ".join(map(_quoted, ENTITIES))}], [{", ".join(map(_quoted, ENTITIES.values()))}]) as m
 ), p as (select page_id, url, coalesce(html, '') as html, m from pages, entities
@@ -189,10 +191,10 @@ with entities as materialized (select map([{", ".join(map(_quoted, ENTITIES))}],
         'title: ' || {_text("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title', 1)")} || {CRLF}
         || 'lang: ' || regexp_extract(html, '(?i)<html[^>]*\\blang\\s*=\\s*["'']?([^"''\\s>]*)', 1) || {CRLF}
         || 'charset: ' || regexp_extract(html, '(?i)<meta[^>]*\\bcharset\\s*=\\s*["'']?([A-Za-z0-9_-]+)', 1) || {CRLF}
-        || 'outlinks: ' || len(regexp_extract_all(html, '(?i)<a\\s[^>]*\\bhref=')) || {CRLF}
+        || 'outlinks: ' || len({LINKS}) || {CRLF}
         || 'source-payload-digest: ' || source_digest || {CRLF}
         || {" || ".join(f"'source-http-header: ' || {line} || {CRLF}" for line in LINES)}
-        || array_to_string(list_transform(regexp_extract_all(html, '(?i)<a\\s[^>]*?\\bhref=\\s*("[^"]*"|''[^'']*''|[^\\s>"'']*)', 1),
+        || array_to_string(list_transform({LINKS},
             lambda t: 'outlink: ' || trim(regexp_replace({TARGET}, '[\\t\\r\\n]', '', 'g')) || {CRLF}), '')
     from s
 ), o as (

@@ -32,6 +32,8 @@ STEPS = (
     (r" ?\n[ \n]*", "\n"),
     (r"^[ \n]+|[ \n]+$", ""),
 )
+#: The target of a link; an attribute whose name only ends like it is none.
+LINK = r"(?i)<a(?:\s[^>]*?)?\shref=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']*)"
 
 
 def _decoded(text: str) -> str:
@@ -132,17 +134,20 @@ def derive(source: DataFrame) -> DataFrame:
     source_digest, block_digest, content_length, header, block``. ``source`` has the columns
     of ``responses``. Null payloads and headers count as empty, and a null target leaves its
     line out. Identifiers name contents, so repeated rows give repeated records of the same
-    ones. Pages of any length are converted whole; an empty table gives an empty result; other
+    ones. Links in comments and scripts are none, as their text is no text. Pages of any length are converted whole; an empty table gives an empty result; other
     columns are ignored.
     """
     html = F.coalesce("payload", F.lit(""))
-    targets = F.regexp_extract_all(html, F.lit(r"(?i)<a\s[^>]*?\bhref=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']*)"), F.lit(1))
+    seen = html
+    for pattern, to in STEPS[:2]:
+        seen = F.regexp_replace(seen, pattern, to)
+    targets = F.regexp_extract_all(seen, F.lit(LINK), F.lit(1))
     first = lambda pattern: F.regexp_extract(html, pattern, 1)
     named = [
         ("title", plain_text(first(r"(?is)<title[^>]*>(.*?)</title"))),
         ("lang", first(r"(?i)<html[^>]*\blang\s*=\s*[\"']?([^\"'\s>]*)")),
         ("charset", first(r"(?i)<meta[^>]*\bcharset\s*=\s*[\"']?([A-Za-z0-9_-]+)")),
-        ("outlinks", F.regexp_count(html, F.lit(r"(?i)<a\s[^>]*\bhref=")).cast("string")),
+        ("outlinks", F.size(targets).cast("string")),
         ("source-payload-digest", digest(html)),
     ]
     lines = header_lines(F.coalesce("http_headers", F.lit("")))

@@ -11,7 +11,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from ridgeline.llm import ball_clusters, spelling_variants, token_counts
+from ridgeline.llm import _store, ball_clusters, packing, spelling_variants, token_counts, warc
 from ridgeline.llm.queries import table
 from tests.llm.test_llm import DOCS, LONG, ROWS, SMALL
 
@@ -178,3 +178,28 @@ def test_whole_balls_and_leaves_agree():
         whole += b - a if len(left) == 1 else 0
     assert seen == len(points) and whole > 0.9 * seen
     assert (ball_clusters.squared(points * 10_000, at) == ((points[:, None, :] * 10_000 - at) ** 2).sum(2)).all()
+
+
+def test_blocks_of_temporary_tables_may_be_nested(spark):
+    there = lambda path: spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(path))  # noqa: E731, E501
+    with _store.temporary(spark):
+        with _store.temporary(spark):
+            pass
+        with _store.temporary(spark):
+            inner = _store.materialize(spark.range(3))
+        outer = _store.materialize(spark.range(3))
+        assert not there(inner._ridgeline_path) and there(outer._ridgeline_path)
+    assert not there(outer._ridgeline_path)
+
+
+def test_many_null_texts_are_packed_by_several_tasks(spark):
+    docs = spark.range(2_200_000, numPartitions=8).selectExpr("id as doc_id", "cast(null as string) as text")
+    packed = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    assert packed.rdd.getNumPartitions() == 3 and packed.agg({"length": "sum"}).first()[0] == 2_200_000
+
+
+def test_links_are_those_of_href_outside_comments_and_scripts(spark):
+    html = "<a data-href='x' href='y'>1</a><!-- <a href=c> --><script>'<a href=s>'</script><A\nHREF=z><a><a name=q><ahref=n><a xhref=m>"
+    rows = warc.derive(warc.responses(spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string"))).collect()
+    block = {r.warc_type: r.block for r in rows}["metadata"]
+    assert "outlinks: 2\r\n" in block and block.endswith("outlink: y\r\noutlink: z\r\n") and block.count("outlink:") == 2
