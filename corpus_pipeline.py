@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgeline.llm import minhash_dedup, mixing, packing, quality_classifier, secret_ledger
-from ridgeline.llm._store import new_path, shared_dir, small_batches, temporary
+from ridgeline.llm._store import delete, new_path, shared_dir, small_batches, temporary
 from ridgeline.llm.queries import quality_labels, table
 
 #: Documents of a lower score go. Near copies share this many hundredths of their shingles.
@@ -54,10 +54,20 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages applied to ``documents``; what a stage wrote goes once the next one is written.
+
+    Null, empty and very long texts, null ids and repeated rows are treated as each operator's
+    docstring says; columns that the table has besides its own pass through to the last stage,
+    of any name. An empty table gives an empty result.
+    """
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for name, stage in STAGES:
         with temporary(spark), small_batches(spark):
             stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            delete(spark, f"{folder}/{before}")
+        before = name
     return docs
