@@ -53,13 +53,24 @@ def outlinks(targets: pd.Series) -> pd.Series:
     return targets.map(lambda ts: "".join(map(line, ts)))
 
 
+def _stepped(text: Column, steps) -> Column:
+    for pattern, to in steps:
+        text = F.regexp_replace(text, pattern, to)
+    return text
+
+
+def without_scripts(html: Column) -> Column:
+    """A page without scripts, styles and comments."""
+    return _stepped(html, STEPS[:2])
+
+
+def visible_text(seen: Column) -> Column:
+    """The text of what ``without_scripts`` leaves."""
+    return _stepped(decoded(_stepped(seen, STEPS[2:4])), STEPS[4:])
+
+
 def plain_text(html: Column) -> Column:
-    for pattern, to in STEPS[:4]:
-        html = F.regexp_replace(html, pattern, to)
-    html = decoded(html)
-    for pattern, to in STEPS[4:]:
-        html = F.regexp_replace(html, pattern, to)
-    return html
+    return visible_text(without_scripts(html))
 
 
 def record_id(*parts: Column) -> Column:
@@ -137,28 +148,28 @@ def derive(source: DataFrame) -> DataFrame:
     ones. Links in comments and scripts are none, as their text is no text. Pages of any length are converted whole; an empty table gives an empty result; other
     columns are ignored.
     """
+    # Once for all that reads them below.
     html = F.coalesce("payload", F.lit(""))
-    seen = html
-    for pattern, to in STEPS[:2]:
-        seen = F.regexp_replace(seen, pattern, to)
-    targets = F.regexp_extract_all(seen, F.lit(LINK), F.lit(1))
+    source = source.select(
+        "page_id", "record_id", "target_uri", "warc_date", html.alias("html"), without_scripts(html).alias("seen"), digest(html).alias("source_digest"),
+        header_lines(F.coalesce("http_headers", F.lit(""))).alias("lines"),
+    )
+    html, lines = F.col("html"), F.col("lines")
+    targets = F.regexp_extract_all("seen", F.lit(LINK), F.lit(1))
     first = lambda pattern: F.regexp_extract(html, pattern, 1)
     named = [
         ("title", plain_text(first(r"(?is)<title[^>]*>(.*?)</title"))),
         ("lang", first(r"(?i)<html[^>]*\blang\s*=\s*[\"']?([^\"'\s>]*)")),
         ("charset", first(r"(?i)<meta[^>]*\bcharset\s*=\s*[\"']?([A-Za-z0-9_-]+)")),
         ("outlinks", F.size(targets).cast("string")),
-        ("source-payload-digest", digest(html)),
+        ("source-payload-digest", F.col("source_digest")),
     ]
-    lines = header_lines(F.coalesce("http_headers", F.lit("")))
     # One line for each header of the source, so that none loses its form.
     headers = F.array_join(F.transform(lines, lambda x: F.concat(F.lit("source-http-header: "), x, F.lit("\r\n"))), "")
     fields = F.concat(*(F.concat(F.lit(f"{k}: "), v, F.lit("\r\n")) for k, v in named), headers, outlinks(targets))
-    made = [("metadata", "application/warc-fields", fields), ("conversion", "text/plain; charset=utf-8", plain_text(html))]
+    made = [("metadata", "application/warc-fields", fields), ("conversion", "text/plain; charset=utf-8", visible_text(F.col("seen")))]
     records = [F.struct(F.lit(k).alias("kind"), F.lit(c).alias("content"), b.alias("block")) for k, c, b in made]
-    rows = source.select(
-        "page_id", "record_id", "target_uri", "warc_date", digest(html).alias("source_digest"), lines.alias("lines"), F.explode(F.array(*records)).alias("r")
-    )
+    rows = source.select("page_id", "record_id", "target_uri", "warc_date", "source_digest", "lines", F.explode(F.array(*records)).alias("r"))
     kind, content, block = F.col("r.kind"), F.col("r.content"), F.col("r.block")
     own, refers = record_id(kind, F.col("record_id"), digest(block)), F.col("record_id")
     source_lines = F.when(F.size("lines") > 0, F.array_join("lines", "\r\nWARC-Source-HTTP-Header: "))
