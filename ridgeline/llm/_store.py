@@ -14,15 +14,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text, and rows, that a task works on at once; a longer text is worked on alone.
 TEXT_BYTES, TEXT_ROWS = 4 << 20, 512
-#: Folders that ``materialize`` and ``new_path`` made within a thread's open ``temporary`` blocks.
-_threads = threading.local()
 
 
-def _open() -> list[list[str]]:
-    """The folders of each open block of this thread, the innermost last."""
-    if not hasattr(_threads, "blocks"):
-        _threads.blocks = []
-    return _threads.blocks
+class _Blocks(threading.local):
+    """Folders that ``materialize`` and ``new_path`` made in each open ``temporary`` block of a thread, the innermost last."""
+
+    def __init__(self):
+        self.made: list[list[str]] = []
+
+    def __getitem__(self, n: int) -> list[str]:
+        return self.made[n]
+
+
+_open = _Blocks()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,8 +51,8 @@ def shared_dir(spark: SparkSession) -> str:
 def new_path(spark: SparkSession, kind: str = "ridgeline") -> str:
     """A new folder's name within the shared one, deleted with the open ``temporary`` block."""
     path = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
-    if blocks := _open():
-        blocks[-1].append(path)
+    if _open.made:
+        _open[-1].append(path)
     return path
 
 
@@ -91,12 +95,11 @@ def temporary(spark: SparkSession) -> Iterator[None]:
 
     Results are lazy and read such tables, so write or collect them inside the block.
     """
-    blocks = _open()
-    blocks.append([])
+    _open.made.append([])
     try:
         yield
     finally:
-        for path in blocks.pop():
+        for path in _open.made.pop():
             delete(spark, path)
 
 
