@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..catalog import query, table
-from ..operators import graph
+from ..operators import graph, groups
 from ..operators import lines as op
 from ..operators import series
 from .graphs import ROADS, roads
@@ -62,6 +62,56 @@ def route_entities(spark, d):
     return out.select("id", "other", "rule", F.round("share", 9).alias("share"), F.round("back", 9).alias("back"))
 
 
+#: Rides of one small district: 29 roads, each ridden again and again, a seventh of the rides one road.
+DISTRICT = """select vec_id as id, k as n, vec_id * 7919 % 1009 as start, vec_id % 53 = 0 as anchor,
+    (r * 113 % 900 + (600 + r * 41 % 500) * k / 6.0 + vec_id * (k + 3) * 37 % 31)::double as x,
+    (r * 71 % 700 + (r % 5 + 1) * k * k * 9 + vec_id * (k + 5) * 53 % 29)::double as y
+    from (select vec_id, case when vec_id % 7 = 0 then 0 else vec_id % 29 end as r from embeddings), range(7) q(k)"""
+
+
+def district(spark, d):
+    """``id, points, start, anchor``; rides of odd numbers run backwards."""
+    i = F.col("vec_id")
+    r = F.when(i % 7 == 0, 0).otherwise(i % 29)
+
+    def point(k):
+        x = r * 113 % 900 + (600 + r * 41 % 500) * k / 6.0 + i * (k + 3) * 37 % 31
+        y = r * 71 % 700 + (r % 5 + 1) * k * k * 9 + i * (k + 5) * 53 % 29
+        return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+
+    points = F.transform(F.sequence(F.lit(0), F.lit(6)), point)
+    points = F.when(i % 2 == 1, F.reverse(points)).otherwise(points)
+    return table(spark, d, "embeddings").select(i.alias("id"), points.alias("points"), (i * 7919 % 1009).alias("start"), (i % 53 == 0).alias("anchor"))
+
+
+@query(f"""
+with recursive p as ({DISTRICT}),
+s as materialized (select id, x as ax, y as ay, lead(x) over w as qx, lead(y) over w as qy, lag(x) over w as px, lag(y) over w as py from p window w as (partition by id order by n)),
+l as (select *, coalesce(sqrt((qx - ax) ** 2 + (qy - ay) ** 2), 0) as ahead, coalesce(sqrt((px - ax) ** 2 + (py - ay) ** 2), 0) as behind from s),
+o as (select id, row_number() over (order by not anchor, case when not anchor then start end, id) as r, anchor from (select distinct id, start, anchor from p)),
+m as materialized (select id, r, anchor, sum(ahead) as len, min(ax) as west, max(ax) as east, min(ay) as south, max(ay) as north,
+    sum((ax + qx) / 2 * ahead) / sum(ahead) as mx, sum((ay + qy) / 2 * ahead) / sum(ahead) as my from l join o using (id) group by 1, 2, 3),
+e as materialized (select a.id as id, b.id as other, a.r as ra, b.r as rb, a.len from m a join m b on not a.anchor and b.r < a.r and abs(a.len - b.len) <= 0.1 * greatest(a.len, b.len)
+    where greatest(abs(a.west - b.west), abs(a.east - b.east), abs(a.south - b.south), abs(a.north - b.north), sqrt((a.mx - b.mx) ** 2 + (a.my - b.my) ** 2))
+        <= 0.1 * greatest(a.len, b.len) + 25),
+b as (select id, other from e union all select other, id from e),
+t as (select b.id, b.other, v.ax as x, v.ay as y, (v.ahead + v.behind) / 2 as w, u.*,
+    greatest(0, least(1, ((v.ax - u.ax) * (u.qx - u.ax) + (v.ay - u.ay) * (u.qy - u.ay)) / ((u.qx - u.ax) ** 2 + (u.qy - u.ay) ** 2))) as c
+    from b join l v on v.id = b.id join s u on u.id = b.other and u.qx is not null),
+h as (select id, other, x, y, any_value(w) as w, min(sqrt((x - ax - c * (qx - ax)) ** 2 + (y - ay - c * (qy - ay)) ** 2)) as far from t group by 1, 2, 3, 4),
+f as materialized (select id, other, sum(case when far > 25 then w else 0 end) <= 0.1 * sum(w) as ok from h group by 1, 2),
+g as materialized (select ra, list(rb) as led from e join f a on a.id = e.id and a.other = e.other and a.ok join f c on c.id = e.other and c.other = e.id and c.ok group by 1),
+k as materialized (select o.r, o.id, coalesce(led, []) as led from o left join g on ra = r),
+z as (select 0::bigint as r, []::bigint[] as leaders, null::bigint as grp
+    union all select k.r, case when list_has_any(led, leaders) then leaders else list_append(leaders, k.r) end,
+        coalesce(list_min(list_intersect(led, leaders)), k.r) from z join k on k.r = z.r + 1)
+select k.id, q.id as grp from z join k on k.r = z.r join k q on q.r = z.grp
+""")
+def ride_groups(spark, d):
+    """Rides of one crowded district by the road they follow, in order of their start; some are given routes."""
+    return groups.same_road(district(spark, d), 25.0)
+
+
 #: One height for each time of a ride; unknown where any sample of that time is an error.
 HEIGHTS = f"(select user_id, t, case when count(*) = count(height) then avg(height) end as height from ({SAMPLES}) group by 1, 2)"
 
