@@ -19,6 +19,8 @@ from ..functions.store import cut
 #: Vertices times segments that one step of the exact test holds.
 STEP = 1_000_000
 SALTS = 16
+#: Leaders of a cell in the first wave, and how much each wave is larger than the last.
+WAVE = 8
 
 
 def summaries(lines: DataFrame, share: float, near: float) -> DataFrame:
@@ -112,14 +114,23 @@ def _matches(shapes: DataFrame, leaders: DataFrame, rides: DataFrame, share: flo
     """``id, hit``: the first of ``leaders`` in order that each of ``rides`` follows.
 
     Leaders are filed around their cell for each salt, rides at theirs under one salt, so the
-    rides of a crowded cell are tested in several tasks. Points are read for pairs alone.
+    rides of a crowded cell are tested in several tasks. Points are read for pairs alone. Each
+    cell's leaders come in order, in waves that grow ``WAVE``-fold: a ride that follows one of
+    a wave has its first, and does not meet the later ones.
     """
-    salt = lambda of: F.pmod(F.xxhash64(of), F.lit(SALTS))
-    l = _around(leaders, share, edge).select("k", "cx", "cy", F.col("order").alias("hit"), F.struct(*SUMMARY).alias("l")).withColumn("salt", _salts(SALTS))
-    r = rides.select("k", "cx", "cy", "id", "order", "best", F.struct(*SUMMARY).alias("r"), salt("id").alias("salt"))
+    cell = ["k", "cx", "cy"]
+    around = _around(leaders, share, edge).select(*cell, F.col("order").alias("hit"), F.struct(*SUMMARY).alias("l"))
+    around = cut(around.withColumn("_n", F.row_number().over(Window.partitionBy(*cell).orderBy("hit"))))
+    left = rides.select(*cell, "id", "order", "best", F.struct(*SUMMARY).alias("r"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt"))
+    found, low, high = rides.where("false").select("id", F.col("best").alias("hit")), 0, WAVE
     earlier = (F.col("hit") < F.col("order")) & (F.col("best").isNull() | (F.col("hit") < F.col("best")))
-    pairs = l.join(r, ["k", "cx", "cy", "salt"]).where(earlier & alike("l", "r", share, edge)).select("id", "hit", F.col("hit.id").alias("lead"), "salt")
-    return _following(shapes, pairs, leaders, SALTS, share, near).groupBy("id").agg(F.min("hit").alias("hit"))
+    while not (now := around.where((F.col("_n") > low) & (F.col("_n") <= high))).isEmpty():
+        pairs = now.withColumn("salt", _salts(SALTS)).join(left, [*cell, "salt"]).where(earlier & alike("l", "r", share, edge))
+        pairs = pairs.select("id", "hit", F.col("hit.id").alias("lead"), "salt")
+        hits = cut(_following(shapes, pairs, leaders, SALTS, share, near).groupBy("id").agg(F.min("hit").alias("hit")))
+        found, left = found.unionByName(hits), left.join(hits.select("id"), "id", "left_anti")
+        low, high = high, high * WAVE
+    return found
 
 
 def _following(shapes: DataFrame, pairs: DataFrame, leaders: DataFrame, salts: int, share: float, near: float) -> DataFrame:
