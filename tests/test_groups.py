@@ -96,6 +96,6 @@ def test_lines_that_follow_nothing(spark):
 def test_one_road_taken_by_all_is_one_round(spark):
     """Every ride is tested against the one leader, and no pairs among rides are made."""
     n = 3000
-    points = "array(struct(id % 7d as x, 0d as y), struct(400d + id % 5, 300d as y), struct(900d, 310d + id % 3))"
-    df = spark.range(n).selectExpr("id", f"transform({points}, p -> struct(p.x as x, p.y as y)) as points", "id as start", "false as anchor")
+    points = "array(struct(id % 7d as x, 0d as y), struct(400d + id % 5 as x, 300d as y), struct(900d as x, 310d + id % 3 as y))"
+    df = spark.range(n).selectExpr("id", f"{points} as points", "id as start", "false as anchor")
     assert [tuple(r) for r in groups.same_road(df, 25.0).groupBy("grp").count().collect()] == [(0, n)]
