@@ -33,7 +33,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _load() -> None:
-    from .plans import areas, facts, graphs, lines, places, relational, rides, search, ways  # noqa: F401
+    from .plans import areas, facts, graphs, lines, places, relational, rides, search, tiles, ways  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
