@@ -142,17 +142,22 @@ def first_fault(rules: dict[str, Column]) -> Column:
 def reduced_cover(areas: DataFrame) -> DataFrame:
     """``area`` of those that stay when the largest that the others still cover goes, again and again.
 
-    ``areas`` has ``area, cell``. Of equal sizes the smaller name goes first. A round is one
-    aggregate; areas are few, cells may be many.
+    ``areas`` has ``area, cell``. Of equal sizes the smaller name goes first. Whether an area goes
+    depends only on larger ones that share a cell with it, so in a round all go that are first
+    in each of their cells; areas apart do not wait for each other. A null area stays.
     """
     left = cut(areas.select("area", "cell").distinct())
     while True:
         many = left.groupBy("cell").agg(F.count("*").alias("n"))
         spare = left.join(many, "cell").groupBy("area").agg(F.count("*").alias("size"), F.min("n").alias("least")).where("least > 1")
-        goes = spare.orderBy(F.desc("size"), "area").first()
-        if goes is None:
+        # The first of a cell: the largest, then the smallest name.
+        held = left.join(spare.select("area", "size"), "area")
+        first = held.groupBy("cell").agg(F.min(F.struct(-F.col("size"), F.col("area"))).alias("first"))
+        goes = held.join(first, "cell").groupBy("area").agg(F.bool_and(F.col("first.area") == F.col("area")).alias("goes"))
+        goes = cut(goes.where("goes").select("area"))
+        if goes.isEmpty():
             return left.select("area").distinct()
-        left = left.where(F.col("area") != F.lit(goes["area"]))
+        left = cut(left.join(goes, "area", "left_anti"))
 
 
 def budget_cells(points: DataFrame, depth: int, most: int) -> DataFrame:
