@@ -4,9 +4,10 @@
    SuperMinHash signature and a key of the set. Rows of equal sets form one class;
    everything after works on classes.
 2. Signatures are cut into bands; classes that share a band key meet in a bucket.
-3. Each bucket's first class leads it: the others are tested on the full sets against their
-   leaders alone. Confirmed links are grouped by union-find. A family of copies, however
-   large, is mostly settled here, and each of its texts has travelled once or a few times.
+3. Each bucket's first class leads it: the others are compared with their leaders alone, by
+   sizes and signatures first. Only texts of pairs that pass travel, and are tested on the full
+   sets. Confirmed links are grouped by union-find. A family of copies, however large, is
+   mostly settled here, and each of its texts has travelled once or a few times.
 4. What is left are buckets of more than one group. There the largest group is closed, and
    only the open classes meet all others: by signatures first, then, in families of groups
    that have similar signatures, on the full sets. Open classes and all classes are split into
@@ -120,11 +121,23 @@ def _verified(t: pa.Table, rows: np.ndarray, width: int) -> Iterator[tuple[int,
                 yield n, s
 
 
-def _signatures(t: pa.Table) -> np.ndarray:
-    return np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, SLOTS)
+def _signatures(t: pa.Table | pa.RecordBatch, column: str = "sig") -> np.ndarray:
+    return np.frombuffer(b"".join(t.column(column).to_pylist()), np.uint8).reshape(-1, SLOTS)
 
 
-def _led(percent: int, width: int, least: float):
+def _similar(least: float):
+    """Pairs of a leader and a member whose signatures may be of a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                near = similarity(_signatures(b), _signatures(b, "lead_sig")) >= least
+                yield b.select(["lead", "node"]).filter(pa.array(near))
+
+    return run
+
+
+def _led(percent: int, width: int):
     """Links of each leader to members of its block that hold on the full sets."""
     keys = ["lead", "block"]
 
@@ -133,15 +146,9 @@ def _led(percent: int, width: int, least: float):
             found: list[tuple[int, int]] = []
             for i, j in _spans(table, keys):
                 t = table.slice(i, j - i)
-                node, size, sig = t.column("node").to_numpy(), t.column("n_shingles").to_numpy(), _signatures(t)
-                lead = t.column("lead")[0].as_py()
-                at = np.flatnonzero(node == lead)
-                may = (similarity(sig, sig[at[0]]) >= least) & (node != lead)
-                may &= 100 * np.minimum(size, size[at[0]]) >= percent * np.maximum(size, size[at[0]])
-                if not may.any():
-                    continue
-                _, first = next(_verified(t, at, width))
-                for n, other in _verified(t, np.flatnonzero(may), width):
+                node, lead = t.column("node").to_numpy(), t.column("lead")[0].as_py()
+                _, first = next(_verified(t, np.flatnonzero(node == lead), width))
+                for n, other in _verified(t, np.flatnonzero(node != lead), width):
                     both = common(first, other)
                     if 100 * both >= percent * (len(first) + len(other) - both):
                         found.append((lead, int(node[n])))
@@ -238,6 +245,15 @@ def _units(members: DataFrame, by: str, heavy: bool = False) -> DataFrame:
     return right.unionByName(left.select(*right.columns)).drop("closed", "ni", "nj")
 
 
+def _dealt(star: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``lead, block, node``: members dealt to blocks of about ``LED`` of their leader, and the leader once a block."""
+    blocks = materialize(star.groupBy("lead").agg(F.ceil(F.count("*") / LED).cast("int").alias("blocks")))
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    led = star.join(blocks, "lead").select("lead", block.alias("block"), "node")
+    leaders = blocks.select("lead", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("lead").alias("node"))
+    return led, leaders
+
+
 def _labelled(df: DataFrame, label: DataFrame) -> DataFrame:
     """Adds ``label`` to rows with ``node``; a node without a link is its own."""
     return df.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -274,19 +290,21 @@ def _grouped(docs: DataFrame, percent: int, width: int) -> tuple[DataFrame, Data
     def read(rows: DataFrame) -> DataFrame:
         return rows.join(whole, "node").join(once, "rep")
 
-    # Leaders: their blocks hold at most about LED members, and the leader itself comes to each.
-    star = met.where("node <> lead").select("lead", "node").distinct()
-    blocks = star.groupBy("lead").agg(F.ceil(F.count("*") / LED).cast("int").alias("blocks"))
-    star, blocks = materialize(star), materialize(blocks)
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    led = star.join(blocks, "lead").select("lead", block.alias("block"), "node")
-    leaders = blocks.select("lead", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("lead").alias("node"))
+    # Sizes and signatures tell which members are worth reading beside their leader.
+    star = materialize(met.where("node <> lead").select("lead", "node").distinct())
+    led, leaders = _dealt(star)
+    slim = classes.select("node", "n_shingles", "sig")
+    first = leaders.join(slim, "node").select("lead", "block", F.col("n_shingles").alias("lead_n"), F.col("sig").alias("lead_sig"))
+    pairs = led.join(slim, "node").join(first, ["lead", "block"])
+    fit = 100 * F.least("n_shingles", "lead_n") >= percent * F.greatest("n_shingles", "lead_n")
+    near = materialize(pairs.where(fit).select("lead", "node", "sig", "lead_sig").mapInArrow(_similar(least), "lead long, node long"))
+    led, leaders = _dealt(near)
     linked = materialize(
         read(led.unionByName(leaders))
-        .select("lead", "block", "node", "n_shingles", "k1", "k2", "sig", "text")
+        .select("lead", "block", "node", "k1", "k2", "text")
         .repartition(number, "lead", "block")
         .sortWithinPartitions("lead", "block", "node")
-        .mapInArrow(_led(percent, width, least), "a long, b long")
+        .mapInArrow(_led(percent, width), "a long, b long")
     )
     label = connected_components(linked).withColumnRenamed("component", "label")
 
@@ -315,7 +333,7 @@ def _grouped(docs: DataFrame, percent: int, width: int) -> tuple[DataFrame, Data
         "n_shingles", "k1", "k2", F.col("name.rep").alias("component"), (F.col("name.node") == F.col("node")).alias("first")
     )
     named = materialize(named)
-    discard(star, blocks, linked, members, group, met, classes)
+    discard(star, near, linked, members, group, met, classes)
     return signed, named
 
 
