@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import threading
 import uuid
@@ -115,6 +116,13 @@ def small_batches(spark: SparkSession, most: int = 8 << 20) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+def give_back() -> None:
+    """Hand memory that this worker has freed back to the machine; a worker serves many tasks and keeps it otherwise."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
     """The rows of ``batches`` in pieces of at most ``TEXT_ROWS`` rows and about ``TEXT_BYTES`` of text.
 
@@ -122,6 +130,8 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBa
     ``maxBytesPerBatch``, which stay as the session has them; what a task derives from texts is
     many times their size, and is bounded here.
     """
+    # What the task before left in this worker.
+    give_back()
     for b in batches:
         sizes = pc.fill_null(pc.binary_length(b.column(text)), 0).to_pylist()
         at, total = 0, 0
@@ -132,4 +142,4 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBa
             total += size
         if b.num_rows > at or not b.num_rows:
             yield b.slice(at)
-
+    give_back()

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ._components import Forest, connected_components
-from ._store import discard, materialize, pieces, unused
+from ._store import discard, give_back, materialize, pieces, unused
 from ._superminhash import signatures, similarity
 from ._text import common, set_key, shingle_sets
 
@@ -89,6 +89,8 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
             held = held.slice(n)
     if held is not None and held.num_rows:
         yield held
+    del held
+    give_back()
 
 
 def _spans(t: pa.Table, keys: list[str]) -> list[tuple[int, int]]:
