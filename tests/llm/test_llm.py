@@ -381,6 +381,26 @@ def test_clustered_vectors_are_searched_in_few_shards(spark):
     assert np.mean([r.searched for r in got]) < 0.7 * 4000
 
 
+def test_tight_clusters_and_rows_between_clusters(spark):
+    rng = np.random.default_rng(6)
+    x = (rng.normal(size=(5, 32))[rng.integers(0, 5, 2000)] + 1e-4 * rng.normal(size=(2000, 32))).astype(np.float32)
+    got = vector_graph.nearest(vectors(spark, [(i, [float(v) for v in r], 1, 5) for i, r in enumerate(x)]), F.col("vec_id") % 20 == 0, 5).collect()
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    hits = 0
+    for q in range(0, 2000, 20):
+        c = u @ u[q]
+        c[q] = -2
+        hits += sum(r.score >= np.sort(c)[-5] - 1e-15 for r in got if r.query_id == q)
+    assert hits >= 0.9 * 100 * 5
+    # A few rows lie between tight clusters: they search more leaves than most rows need.
+    x = rng.normal(size=(50, 32))[rng.integers(0, 50, 8000)] + 0.05 * rng.normal(size=(8000, 32))
+    x[:40] = rng.normal(size=(40, 32))
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    tree = vector_graph.fit_tree(u[rng.permutation(8000)], 8, 5)
+    near = tree.nearest(u[:200])
+    assert np.mean([len(n) for n in near[:40]]) > np.mean([len(n) for n in near[40:]]) + 1
+
+
 def test_repeated_vectors_count_once(spark):
     rows = [(1, [1.0, 0.0], 1, 1), (1, [1.0, 0.0], 1, 1), (2, [1.0, 0.0], 1, 1), (3, [0.0, 1.0], 1, 1), (3, [0.0, 1.0], 1, 1)]
     got = sorted((r.vec_id, r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(vectors(spark, rows)).collect())
