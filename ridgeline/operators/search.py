@@ -1,4 +1,8 @@
-"""Place search as joins with inverted tables: words, grams, tiers, scores."""
+"""Place search as joins with inverted tables: words, grams, tiers, scores.
+
+Names and what is exploded from them are hinted to be merged: their size is told by the file,
+which compresses well, so they would pass for small and be broadcast through the driver.
+"""
 
 from __future__ import annotations
 
@@ -35,8 +39,8 @@ def all_words(queries: DataFrame, terms: DataFrame) -> DataFrame:
     prefixes = distinct.select("term", F.explode(F.transform(F.sequence(F.lit(1), F.length("term")), lambda n: F.substring("term", F.lit(1), n))).alias("part"))
     last = asked.select("query", F.try_element_at("w", F.lit(-1)).alias("part"), F.size("w").alias("n"), (F.size("w") - 1).alias("place"))
     first = asked.select("query", F.posexplode(F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0)))).alias("place", "term"), F.size("w").alias("n"))
-    meets = first.select("query", "place", "term", "n").unionByName(last.join(prefixes, "part").select("query", "place", "term", "n"))
-    hits = meets.join(terms, "term").groupBy("query", "id", "n").agg(F.count_distinct("place").alias("found"))
+    meets = first.select("query", "place", "term", "n").unionByName(last.join(prefixes.hint("merge"), "part").select("query", "place", "term", "n"))
+    hits = meets.join(terms.hint("merge"), "term").groupBy("query", "id", "n").agg(F.count_distinct("place").alias("found"))
     return hits.where("found = n").select("query", "id")
 
 
@@ -52,7 +56,7 @@ def corrections(queries: DataFrame, lexicon_: DataFrame, most: int = 8) -> DataF
     reach = F.when(F.length("term") < 4, 0).when(F.length("term") < 6, 1).otherwise(2)
     held = lexicon_.select("term", F.explode(fn.shortened("term", reach)).alias("key"))
     near = F.abs(F.length("query") - F.length("term")) <= F.col("budget")
-    pairs = asked.join(held, "key").where(near).select("query", "term", "budget").distinct()
+    pairs = asked.join(held.hint("merge"), "key").where(near).select("query", "term", "budget").distinct()
     found = pairs.withColumn("edits", fn.edits("query", "term", "budget")).where("edits <= budget")
     rank = F.row_number().over(Window.partitionBy("query").orderBy("edits", "term"))
     return found.withColumn("rank", rank).where(F.col("rank") <= most).select("query", "term", "edits", "rank")
@@ -114,7 +118,7 @@ def resolved(queries: DataFrame, names: DataFrame, limit: int) -> DataFrame:
     again = all_words(fixed.select(F.col("read_as").alias("query")).distinct(), terms).withColumnRenamed("query", "read_as")
     again = again.join(fixed, "read_as").select("query", "id", "read_as", "edits", F.lit("fuzzy").alias("kind"))
     hits = exact.select("query", "id", F.col("query").alias("read_as"), F.lit(0).cast("long").alias("edits"), F.lit(None).cast("string").alias("kind"))
-    hits = hits.unionByName(again).join(names, "id")
+    hits = hits.unionByName(again).join(names.hint("merge"), "id")
     kind = F.coalesce("kind", tier(F.col("query"), F.col("name")))
     hits = hits.withColumn("score", score(kind, F.col("edits"), F.col("km"), F.col("prominence")))
     return ranked(hits, "query", limit).select("query", "id", "read_as", "score", "rank")

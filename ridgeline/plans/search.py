@@ -92,7 +92,7 @@ select query, id, round(score, 9) as score, rank from r where rank <= 10
 def scored_search(spark, d):
     """Candidates by score: kind of match, nearness (the size as km), prominence (the price)."""
     n = names(spark, d)
-    hits = op.all_words(asked(spark, ASKED), op.index_terms(n, "id", "name")).join(n, "id")
+    hits = op.all_words(asked(spark, ASKED), op.index_terms(n, "id", "name")).join(n.hint("merge"), "id")
     s = op.score(op.tier(F.col("query"), F.col("name")), F.lit(0), F.col("p_size"), (F.col("p_retailprice") - 900) / 20)
     return op.ranked(hits.withColumn("score", s), "query", 10).select("query", "id", F.round("score", 9).alias("score"), "rank")
 
