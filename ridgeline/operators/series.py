@@ -28,9 +28,12 @@ def run_lengths(df: DataFrame, key: list[str], order: list[str], value: str) ->
     return grouped.agg(F.first(value).alias(value), F.min(at).alias("first"), F.max(at).alias("last"), F.count("*").alias("rows"))
 
 
-def gaps(df: DataFrame, key: list[str], at: str, least: float) -> DataFrame:
-    """Adds ``gap`` to the rows that come more than ``least`` after the one before."""
-    before = F.lag(at).over(in_order(key, [at]))
+def gaps(df: DataFrame, key: list[str], at: str, least: float, then: tuple[str, ...] = ()) -> DataFrame:
+    """Adds ``gap`` to the rows that come more than ``least`` after the one before.
+
+    Of rows of one time only the first can have a gap; ``then`` names the columns that order them.
+    """
+    before = F.lag(at).over(in_order(key, [at, *then]))
     return df.withColumn("gap", F.col(at) - before).where(F.col("gap") > least)
 
 

@@ -113,7 +113,7 @@ def run_lengths(spark, d):
 select * from (select user_id, event_id, t, t - lag(t) over (partition by user_id order by t) as gap from ({SAMPLES})) where gap > 36000
 """)
 def time_gaps(spark, d):
-    return op.gaps(samples(spark, d).select("user_id", "event_id", "t"), ["user_id"], "t", 36_000)
+    return op.gaps(samples(spark, d).select("user_id", "event_id", "t"), ["user_id"], "t", 36_000, ("event_id",))
 
 
 @query(f"""
