@@ -15,23 +15,55 @@ from ..functions.store import cut
 from .lines import _covering, segments
 
 
+#: Shares of the radius that are searched one after the other.
+STEPS = (1 / 16, 1 / 4, 1)
+
+
 def nearest_way(points: DataFrame, lines: DataFrame, most: float) -> DataFrame:
     """``id, way, segment, metres``: the way nearest to each point (``id, x, y``) within ``most``.
 
-    A segment is filed under every cell that its box, widened by ``most``, touches, and a point
-    under its own; ties take the smaller way and segment. The best is kept by a map-side
-    combined aggregate, so no point's candidates are sorted together.
+    Equal to the micrometre, the smaller way and segment stand. Points of one place are searched
+    once, and of equal segments only the first can be an answer. The radius widens in ``STEPS``
+    for places that found nothing yet, so crowded places meet near segments alone. A segment is
+    filed under the cells that it comes within the radius of, column by column, and a point
+    under its own. The best is kept by a map-side combined aggregate.
     """
-    side = max(4 * most, 1.0)
-    s = segments(lines).select(F.col("id").alias("way"), F.col("n").alias("segment"), "a", "b")
-    for axis, cell in (("x", "cx"), ("y", "cy")):
-        ends = F.col(f"a.{axis}"), F.col(f"b.{axis}")
-        s = s.withColumn(cell, F.explode(_covering(F.least(*ends) - most, F.greatest(*ends) + most, side)))
-    at = points.withColumns({"cx": F.floor(F.col("x") / side), "cy": F.floor(F.col("y") / side)})
+    segment = segments(lines).groupBy("a", "b").agg(F.min(F.struct(F.col("id").alias("way"), F.col("n").alias("segment"))).alias("s"))
+    segment = cut(segment.select("s.way", "s.segment", "a", "b"))
+    points = points.select("id", "x", "y")
+    left, found = cut(points.select("x", "y").where("x is not null and y is not null").distinct()), []
+    for share in STEPS:
+        radius = most * share
+        best = _nearest_within(left, segment, radius)
+        # At the rim, a smaller way just outside may be as near to the micrometre.
+        best = cut(best if share == STEPS[-1] else best.where(F.col("b.metres") < radius - 1e-6))
+        found.append(best)
+        if share != STEPS[-1]:
+            left = cut(left.join(best, ["x", "y"], "left_anti"))
+    all_ = found[0]
+    for more in found[1:]:
+        all_ = all_.unionByName(more)
+    return points.join(all_, ["x", "y"]).select("id", "b.way", "b.segment", "b.metres")
+
+
+def _nearest_within(places: DataFrame, segment: DataFrame, radius: float) -> DataFrame:
+    side = max(radius, 1.0)
+    ax, ay, bx, by = (F.col(c) for c in ("a.x", "a.y", "b.x", "b.y"))
+    # A little wider than the radius, for the rounding of the cut at a column.
+    wide = radius * 1.001
+    s = segment.withColumn("cx", F.explode(_covering(F.least(ax, bx) - wide, F.greatest(ax, bx) + wide, side)))
+    # What of the segment lies within the radius of the column.
+    at = lambda x: F.when(ax == bx, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (x - ax) / F.nullif(bx - ax, F.lit(0.0)))))
+    low, high = at(F.col("cx") * side - wide), F.when(ax == bx, 1.0).otherwise(at((F.col("cx") + 1) * side + wide))
+    y0, y1 = ay + (by - ay) * low, ay + (by - ay) * high
+    s = s.withColumn("cy", F.explode(_covering(F.least(y0, y1) - wide, F.greatest(y0, y1) + wide, side)))
+    # Both tables are small beside their pairs, so a number of parts is set: one task would do the work otherwise.
+    parts = int(places.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at_ = places.withColumns({"cx": F.floor(F.col("x") / side), "cy": F.floor(F.col("y") / side)}).repartition(parts, "cx", "cy")
+    s = s.repartition(parts, "cx", "cy")
     metres, _ = geo.on_segment(*(F.col(c) for c in ("x", "y", "a.x", "a.y", "b.x", "b.y")))
-    hits = at.join(s, ["cx", "cy"]).select("id", "way", "segment", metres.alias("metres")).where(F.col("metres") <= most)
-    best = hits.groupBy("id").agg(F.min(F.struct("metres", "way", "segment")).alias("b"))
-    return best.select("id", "b.way", "b.segment", "b.metres")
+    hits = at_.join(s, ["cx", "cy"]).select("x", "y", "way", "segment", metres.alias("metres")).where(F.col("metres") <= radius)
+    return hits.groupBy("x", "y").agg(F.min(F.struct(F.round("metres", 6).alias("metres"), "way", "segment")).alias("b"))
 
 
 @F.pandas_udf(ArrayType(IntegerType()))
