@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._components import connected_components
-from ._store import materialize
+from ._store import give_back, materialize
 from ._vectors import cosine, matrix, unit, usable, width
 from .vector_graph import LEAVES, SAMPLE, SAMPLE_BYTES, fit_tree
 
@@ -250,7 +250,10 @@ def near_duplicates(
     # The order of the tree comes from a bounded sample: the rows of the smallest hashes.
     some = min(SAMPLE, max(256, SAMPLE_BYTES // (8 * dim)))
     sample = unit(matrix(classes.select("vec").orderBy(F.xxhash64("vec"), "vec").limit(some).toArrow().column("vec"), dim))
-    tree = spark.sparkContext.broadcast(fit_tree(sample, min(LEAVES, math.ceil(n / TILE)), 1))
+    # Only the order of the leaves counts here, so no probes are chosen.
+    tree = spark.sparkContext.broadcast(fit_tree(sample, min(LEAVES, math.ceil(n / TILE)), 0))
+    del sample
+    give_back()
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # Units as large as leave some pairs of them for each task; at most TILES tiles.
     sides = max(1, math.floor(math.sqrt(8 * parts)))

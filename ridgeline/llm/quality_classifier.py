@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import materialize, pieces
+from ._store import give_back, materialize, pieces
 from ._text import mix
 
 BITS, DIM, GRAMS = 18, 16, (3, 4, 5)
@@ -178,7 +178,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col="doc_id
     if len(fit_in) < len(order):
         made = made.join(F.broadcast(spark.createDataFrame([(i,) for i in fit_in], "doc_id long")), "doc_id")
     found = sorted((r.doc_id, r.label, bytes(r.bucket), bytes(r.share)) for r in made.toLocalIterator())
-    return train([(np.frombuffer(b, np.int32), np.frombuffer(s, np.float32)) for _, _, b, s in found], [y for _, y, _, _ in found])
+    model = train([(np.frombuffer(b, np.int32), np.frombuffer(s, np.float32)) for _, _, b, s in found], [y for _, y, _, _ in found])
+    # The driver keeps freed memory otherwise, for all stages to come.
+    del found
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

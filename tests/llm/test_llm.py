@@ -2,6 +2,7 @@
 
 import math
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -381,6 +382,18 @@ def test_clustered_vectors_are_searched_in_few_shards(spark):
     assert np.mean([r.searched for r in got]) < 0.7 * 4000
 
 
+def test_fit_tree_holds_no_copies_of_the_sample():
+    u = np.random.default_rng(3).normal(size=(20_000, 64))
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    tracemalloc.start()
+    tree = vector_graph.fit_tree(u, 8, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1.5 * u.nbytes
+    assert np.bincount(tree.leaf(u)).tolist() == [2500] * 8
+    assert vector_graph.fit_tree(u, 8, 0).probes == 8
+
+
 def test_tight_clusters_and_rows_between_clusters(spark):
     rng = np.random.default_rng(6)
     x = (rng.normal(size=(5, 32))[rng.integers(0, 5, 2000)] + 1e-4 * rng.normal(size=(2000, 32))).astype(np.float32)
