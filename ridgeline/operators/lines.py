@@ -5,12 +5,24 @@ A line is ``id, points`` (array of structs ``x, y`` in metres of a local plane).
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions.store import cut
 
+#: Vertices, and segments, of a cell that one task takes together, and pairs of both that it tests in one step.
+CROWD, STEP = 2000, 1 << 20
+#: Rows that a task has, and pairs that its cells make, on average.
+TASK_ROWS, TASK_PAIRS = 500_000, 200_000_000
+
 
 def segments(lines: DataFrame) -> DataFrame:
     """``id, n, a, b`` of each line's segments in order."""
@@ -33,25 +45,118 @@ def coverage(lines: DataFrame, others: DataFrame, near: float, side: float) -> D
     """``id, other, share``: how much of each line, by length, lies within ``near`` of another.
 
     A segment is filed under every cell of ``side`` that its box, widened by ``near``,
-    touches; a vertex meets the segments of its own cell. Pairs that share nothing have no row.
+    touches; a vertex meets the segments of its own cell, inside the task that has the cell, and what
+    leaves the task is one row for each cell and pair of lines. Cells of more than ``CROWD`` vertices or
+    segments go to several tasks. Pairs that share nothing have no row.
     """
-    v = weighted_vertices(lines).withColumn("cx", F.floor(F.col("p.x") / side)).withColumn("cy", F.floor(F.col("p.y") / side))
-    s = segments(others).select(F.col("id").alias("other"), "a", "b")
-    for axis, cell in (("x", "cx"), ("y", "cy")):
-        ends = F.col(f"a.{axis}"), F.col(f"b.{axis}")
-        s = s.withColumn(cell, F.explode(_covering(F.least(*ends) - near, F.greatest(*ends) + near, side)))
-    metres, _ = geo.on_segment(*(F.col(c) for c in ("p.x", "p.y", "a.x", "a.y", "b.x", "b.y")))
-    hits = v.join(s, ["cx", "cy"]).where((F.col("id") != F.col("other")) & (metres <= near)).select("id", "other", "n", "weight").distinct()
-    total = v.groupBy("id").agg(F.sum("weight").alias("total"))
-    held = hits.groupBy("id", "other").agg(F.sum("weight").alias("held")).join(total, "id")
-    return held.where("total > 0").select("id", "other", (F.col("held") / F.col("total")).alias("share"))
+    parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cell, known = ["cx", "cy"], lambda *c: reduce(Column.__and__, (F.abs(x) < float("inf") for x in c))
+    v = weighted_vertices(lines.select("id", "points").repartition(parts, "id"))
+    v = v.withColumn("total", F.sum("weight").over(Window.partitionBy("id"))).where((F.col("total") > 0) & known(F.col("p.x"), F.col("p.y")))
+    x, y, none = F.col("p.x").cast("double"), F.col("p.y").cast("double"), F.lit(0.0)
+    v = v.select(F.floor(x / side).alias("cx"), F.floor(y / side).alias("cy"), "id", F.lit(True).alias("vertex"), x.alias("ax"), y.alias("ay"), none.alias("bx"), none.alias("by"), F.coalesce("weight", none).alias("weight"), "total")
+    ends = {f"{e}{axis}": F.col(f"{e}.{axis}").cast("double") for e in "ab" for axis in "xy"}
+    s = segments(others.select("id", "points").repartition(parts, "id")).where(known(*ends.values())).select("id", *(c.alias(k) for k, c in ends.items()))
+    for axis, at in (("x", "cx"), ("y", "cy")):
+        low, high = F.least(f"a{axis}", f"b{axis}") - near, F.greatest(f"a{axis}", f"b{axis}") + near
+        s = s.withColumn(at, F.explode(_covering(low, high, side)))
+    rows = v.unionByName(s.withColumns({"vertex": F.lit(False), "weight": none, "total": none})).where("id is not null")
+    sizes = cut(rows.groupBy(*cell).agg(F.count_if("vertex").alias("nv"), F.count_if(~F.col("vertex")).alias("ns")))
+    work = sizes.agg(F.sum("nv") + F.sum("ns"), F.sum(F.col("nv").cast("double") * F.col("ns"))).first()
+    tasks = max(parts, math.ceil((work[0] or 0) / TASK_ROWS), math.ceil((work[1] or 0) / TASK_PAIRS))
+    crowded = sizes.where(F.greatest("nv", "ns") > CROWD).select(*cell, *(F.ceil(F.col(c) / CROWD).alias(k) for c, k in (("nv", "_of"), ("ns", "_by"))))
+    if crowded.isEmpty():
+        rows = rows.withColumns({"i": F.lit(0).cast("long"), "j": F.lit(0).cast("long")})
+    else:
+        # Vertices are dealt by themselves, segments by their line, so that a vertex meets all segments of a line in one task.
+        one = F.lit(1).cast("long")
+        rows = rows.join(crowded, cell, "left").withColumns({"_of": F.greatest("_of", one), "_by": F.greatest("_by", one)})
+        own = lambda n, *by: F.array(F.pmod(F.xxhash64(*by), F.col(n)))
+        all_ = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+        rows = rows.withColumn("i", F.explode(F.when(F.col("vertex"), own("_of", "id", "ax", "ay")).otherwise(all_("_of"))))
+        rows = rows.withColumn("j", F.explode(F.when(F.col("vertex"), all_("_by")).otherwise(own("_by", "id")))).drop("_of", "_by")
+    dealt = rows.repartition(tasks, *cell, "i", "j").sortWithinPartitions(*cell, "i", "j")
+    kind = rows.schema["id"].dataType.simpleString()
+    held = dealt.mapInArrow(_held(near, side), f"id {kind}, other {kind}, held double, total double").groupBy("id", "other").agg(F.sum("held").alias("held"), F.any_value("total").alias("total"))
+    return held.select("id", "other", (F.col("held") / F.col("total")).alias("share"))
+
+
+def _held(near: float, side: float):
+    """Rows sorted by cell to ``id, other, held, total``: the weight of a line's vertices that lie near another, by cell."""
+
+    def pairs(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+        b = pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
+        names = pc.dictionary_encode(b.column("id"))
+        code, n = names.indices.to_numpy(), len(names.dictionary)
+        column = {c: b.column(c).to_numpy(zero_copy_only=False) for c in b.schema.names if c != "id"}
+        new = np.zeros(b.num_rows, np.int64)
+        for c in ("cx", "cy", "i", "j"):
+            new[1:] |= column[c][1:] != column[c][:-1]
+        # Places in a cell by their y, cells in a row.
+        base, up = np.cumsum(new) * (2.0 * side), lambda y: np.clip(y - column["cy"] * side, 0.0, side)
+        vertex, slack = column["vertex"], near + 1e-6 * (side + near)
+        v, s = np.flatnonzero(vertex), np.flatnonzero(~vertex)
+        at = base + up(column["ay"])
+        v = v[np.argsort(at[v], kind="stable")]
+        low = np.searchsorted(at[v], (base + up(np.minimum(column["ay"], column["by"]) - slack))[s], "left")
+        high = np.searchsorted(at[v], (base + up(np.maximum(column["ay"], column["by"]) + slack))[s], "right")
+        upto, hits, k = np.cumsum(high - low), [np.empty(0, np.int64)], 0
+        px, py, mine = column["ax"][v], column["ay"][v], code[v]
+        ax, ay, theirs = column["ax"][s], column["ay"][s], code[s]
+        dx, dy = column["bx"][s] - ax, column["by"][s] - ay
+        size = dx * dx + dy * dy
+        west, east = np.minimum(0.0, dx) + ax - slack, np.maximum(0.0, dx) + ax + slack
+        while k < len(s):  # some segments at a time
+            done = upto[k - 1] if k else 0
+            last = max(k + 1, int(np.searchsorted(upto, done + STEP, "right")))
+            many = (high - low)[k:last]
+            g = np.repeat(np.arange(k, last), many)
+            w = np.arange(len(g)) - np.repeat(upto[k:last] - many - done, many) + np.repeat(low[k:last], many)
+            some = (mine[w] != theirs[g]) & (px[w] >= west[g]) & (px[w] <= east[g])
+            g, w, k = g[some], w[some], last
+            with np.errstate(all="ignore"):
+                t = np.where(size[g] > 0, np.clip(((px[w] - ax[g]) * dx[g] + (py[w] - ay[g]) * dy[g]) / size[g], 0.0, 1.0), 0.0)
+                ex, ey = px[w] - (ax[g] + t * dx[g]), py[w] - (ay[g] + t * dy[g])
+                met = np.sqrt(ex * ex + ey * ey) <= near
+            hits.append(np.unique(w[met] * n + theirs[g[met]]))
+        hit = np.unique(np.concatenate(hits))
+        w, other = hit // n, hit % n
+        pair, first, which = np.unique(mine[w].astype(np.int64) * n + other, return_index=True, return_inverse=True)
+        weight = np.bincount(which.ravel(), column["weight"][v][w], len(pair))
+        of = [names.dictionary.take(pa.array(c)) for c in (pair // n, pair % n)]
+        return pa.RecordBatch.from_arrays([*of, pa.array(weight, pa.float64()), pa.array(column["total"][v][w[first]])], ["id", "other", "held", "total"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest, held = [], None  # rows of the last cell, which may go on, and that cell
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys = [b.column(c).to_numpy() for c in ("cx", "cy", "i", "j")]
+            cell = tuple(k[-1] for k in keys)
+            start = b.num_rows - int(np.argmin(np.append(np.logical_and.reduce([k[::-1] == c for k, c in zip(keys, cell)]), False)))
+            if start or (rest and cell != held):
+                if done := rest + [b.slice(0, start)] if start else rest:
+                    yield pairs(done)
+                rest = []
+            rest.append(b.slice(start))
+            held = cell
+        if rest:
+            yield pairs(rest)
+
+    return run
+
+
+def _both_ways(covered: DataFrame) -> DataFrame:
+    """``a, b, ahead, behind`` with ``a < b``: the shares of each pair, null where a line has none of the other."""
+    way = lambda c: F.max(F.when(c, F.col("share")))
+    pair = F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")
+    return covered.groupBy(*pair).agg(way(F.col("id") < F.col("other")).alias("ahead"), way(F.col("id") > F.col("other")).alias("behind"))
 
 
 def same_lines(lines: DataFrame, near: float, side: float, least: float = 0.9) -> DataFrame:
     """``a, b`` with ``a < b`` of lines that cover each other; start and direction do not matter."""
     c = coverage(lines, lines, near, side).where(F.col("share") >= least)
-    back = c.select(F.col("other").alias("id"), F.col("id").alias("other"))
-    return c.join(back, ["id", "other"], "left_semi").where("id < other").select(F.col("id").alias("a"), F.col("other").alias("b"))
+    return _both_ways(c).where("ahead is not null and behind is not null").select("a", "b")
 
 
 def entity_pairs(lines: DataFrame, near: float, side: float, agree: Column, named: float, same: float) -> DataFrame:
@@ -60,9 +165,10 @@ def entity_pairs(lines: DataFrame, near: float, side: float, agree: Column, name
     Rule ``a``: ``agree`` holds (over ``name`` and ``other_name``) and one covers ``named`` of
     the other. Rule ``b``: both cover ``same`` of the other. ``lines`` also has ``name``.
     """
-    c = coverage(lines, lines, near, side)
-    back = c.select(F.col("other").alias("id"), F.col("id").alias("other"), F.col("share").alias("back"))
-    both = c.join(back, ["id", "other"], "left").withColumn("back", F.coalesce("back", F.lit(0.0)))
+    way = lambda a, b, there, back: F.struct(F.col(a).alias("id"), F.col(b).alias("other"), F.col(there).alias("share"), F.coalesce(back, F.lit(0.0)).alias("back"))
+    ways = F.array(way("a", "b", "ahead", "behind"), way("b", "a", "behind", "ahead"))
+    both = _both_ways(coverage(lines, lines, near, side)).select(F.explode(ways).alias("w")).select("w.*").where("share is not null")
+    both = both.where((F.greatest("share", "back") >= named) | (F.least("share", "back") >= same))
     name = lines.select("id", "name")
     both = both.join(name, "id").join(name.toDF("other", "other_name"), "other")
     rule = F.when(agree & (F.greatest("share", "back") >= named), "a").when(F.least("share", "back") >= same, "b")

@@ -1,5 +1,6 @@
 """Operators on lines against brute force, and their edge cases."""
 
+import math
 import random
 
 from pyspark.sql import functions as F
@@ -58,6 +59,42 @@ def test_lines_of_one_point_and_no_length_cover_nothing(spark):
     assert [(r.a, r.b) for r in got] == [(1, 2)]
 
 
+def test_crowded_cells_are_split_and_cover_as_brute_force_does(spark, monkeypatch):
+    rnd = random.Random(7)
+    rows = []
+    for k in range(60):
+        x, y = rnd.uniform(-120, 120), rnd.uniform(-120, 120)
+        rows.append((f"l{k}", [(x := x + rnd.uniform(-40, 40), y := y + rnd.uniform(-40, 40)) for _ in range(6)]))
+
+    def far(p, a, b):
+        dx, dy = b[0] - a[0], b[1] - a[1]
+        t = max(0.0, min(1.0, ((p[0] - a[0]) * dx + (p[1] - a[1]) * dy) / (dx * dx + dy * dy)))
+        return math.hypot(p[0] - a[0] - t * dx, p[1] - a[1] - t * dy)
+
+    want = {}
+    for i, p in rows:
+        steps = [math.dist(a, b) / 2 for a, b in zip(p, p[1:])]
+        weight = [a + b for a, b in zip([0.0, *steps], [*steps, 0.0])]
+        for o, q in rows:
+            held = sum(w for v, w in zip(p, weight) if min(far(v, a, b) for a, b in zip(q, q[1:])) <= 15.0)
+            if o != i and held:
+                want[i, o] = held / sum(weight)
+    monkeypatch.setattr(lines, "CROWD", 20)
+    monkeypatch.setattr(lines, "STEP", 50)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 37)
+    try:
+        df = spark.createDataFrame(rows, "id string, points array<struct<x:double,y:double>>")
+        got = {(r.id, r.other): r.share for r in lines.coverage(df, df, 15.0, 100.0).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_coverage_joins_no_vertices_with_segments_as_rows(spark):
+    df = spark.createDataFrame([(1, [(0.0, 0.0), (100.0, 0.0)]), (2, [(100.0, 5.0), (0.0, 5.0)])], "id long, points array<struct<x:double,y:double>>")
+    assert "Join" not in lines.coverage(df, df, 10.0, 40.0)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_chains_stop_at_forks_and_join_circles(spark):
     rows = [(1, 1, 2), (2, 2, 3), (3, 3, 4), (4, 3, 5), (5, 10, 11), (6, 11, 10), (7, 20, 20)]
     df = spark.createDataFrame(rows, "id long, src long, dst long").withColumn("kind", F.lit("a"))
