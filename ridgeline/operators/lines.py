@@ -343,16 +343,14 @@ def filled_columns(df: DataFrame, key: list[str], at: str, value: str, width: fl
     return e.select(*key, F.col("_c").alias("column"), made.alias("mean"), (F.col("_c") != F.col("column")).alias("filled"))
 
 
-def in_runs(ids: DataFrame, asked: DataFrame, col: str, block: int = 4096) -> DataFrame:
-    """Asked ids with ``held``: whether they lie in a run of ``ids``.
+def in_runs(ids: DataFrame, asked: DataFrame, col: str) -> DataFrame:
+    """Asked ids (whole numbers) with ``held``: whether they lie in a run of ``ids``.
 
-    Runs are found and looked up by blocks of ids, so they need no order over the whole table.
+    Runs are held by blocks of 64 ids as the bits of one number, so that a look-up is one test
+    however many runs there are; they need no order over the whole table.
     """
-    w = Window.partitionBy("_block").orderBy(col)
-    numbered = ids.select(col).distinct().withColumn("_block", F.floor(F.col(col) / block))
-    numbered = numbered.withColumn("_island", F.col(col) - F.row_number().over(w))
-    runs = numbered.groupBy("_block", "_island").agg(F.min(col).alias("_a"), F.max(col).alias("_b")).drop("_island")
-    a = asked.withColumn("_block", F.floor(F.col(col) / block))
-    marks = runs.groupBy("_block").agg(F.collect_list(F.struct("_a", "_b")).alias("_runs"))
-    held = F.exists("_runs", lambda r: F.col(col).between(r["_a"], r["_b"]))
-    return a.join(marks, "_block", "left").withColumn("held", F.coalesce(held, F.lit(False))).drop("_block", "_runs")
+    block, bit = F.shiftright(F.col(col).cast("long"), 6), F.col(col).cast("long").bitwiseAND(63).cast("int")
+    one = F.lit(1).cast("long")
+    runs = ids.where(F.col(col).isNotNull()).groupBy(block.alias("_block")).agg(F.bit_or(F.call_function("shiftleft", one, bit)).alias("_runs"))
+    held = F.call_function("shiftright", F.col("_runs"), bit).bitwiseAND(1) == 1
+    return asked.withColumn("_block", block).join(runs, "_block", "left").withColumn("held", F.coalesce(held, F.lit(False))).drop("_block", "_runs")

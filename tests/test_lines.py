@@ -110,3 +110,11 @@ def test_first_reached_and_runs(spark):
     ids = spark.range(4000, 4200)
     held = lines.in_runs(ids, spark.range(3998, 4202), "id").where("held").count()
     assert held == 200
+
+
+def test_runs_are_bits_of_a_block_not_lists_to_search(spark):
+    ids = spark.createDataFrame([(-65,), (-64,), (-1,), (0,), (0,), (63,), (64,), (9007199254740993,), (None,)], "id long")
+    asked = spark.createDataFrame([(n,) for n in (None, -66, -65, -64, -63, -2, -1, 0, 1, 62, 63, 64, 65, 9007199254740992, 9007199254740993)], "id long")
+    out = lines.in_runs(ids, asked, "id")
+    assert {r.id for r in out.where("held").collect()} == {-65, -64, -1, 0, 63, 64, 9007199254740993} and out.where("held is null").isEmpty()
+    assert "collect_list" not in out._jdf.queryExecution().optimizedPlan().toString()
