@@ -22,6 +22,8 @@ from ..functions.store import cut
 CROWD, STEP = 2000, 1 << 20
 #: Rows that a task has, and pairs that its cells make, on average.
 TASK_ROWS, TASK_PAIRS = 500_000, 200_000_000
+#: Rows of a task that orders all rows of its keys, on average.
+SORTED = 200_000
 
 
 def segments(lines: DataFrame) -> DataFrame:
@@ -180,8 +182,11 @@ def smoothed(df: DataFrame, key: list[str], at: str, value: str, width: float) -
 
     The mean is the trapezoid integral over the window. Unknown heights stay unknown and end
     a run; runs are smoothed apart. Places of a key are distinct. Points and window ends are
-    ordered together, so no range join is needed.
+    ordered together, so no range join is needed. Keys are dealt to tasks of about ``SORTED`` rows.
     """
+    df = cut(df.select(*key, at, value))
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(df.count() / SORTED))
+    df = df.repartition(tasks, *key)
     w = Window.partitionBy(*key).orderBy(at)
     known = F.col(value).isNotNull()
     new = (known != F.coalesce(F.lag(known).over(w), ~known)).cast("int")
@@ -198,9 +203,11 @@ def smoothed(df: DataFrame, key: list[str], at: str, value: str, width: float) -
     marks = r.select(*key, "_run", F.col("_s").alias("_x"), F.lit(0).alias("_kind"), point.alias("_point"), none.alias("_of"))
     ends = r.where("_h > 0").select(*key, "_run", F.explode(F.array(F.struct((F.col("_s") - F.col("_h")).alias("x"), F.lit(-1).alias("k")), F.struct((F.col("_s") + F.col("_h")).alias("x"), F.lit(1).alias("k")))).alias("e"), F.col("_s").alias("_of"))
     both = marks.unionByName(ends.select(*key, "_run", F.col("e.x").alias("_x"), F.col("e.k").alias("_kind"), F.lit(None).cast(marks.schema["_point"].dataType).alias("_point"), "_of"))
+    both = both.repartition(tasks, *key)
     order = Window.partitionBy(*key, "_run").orderBy("_x", F.abs("_kind"))
     back = F.last("_point", True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.first("_point", True).over(Window.partitionBy(*key, "_run").orderBy("_x", F.desc(F.abs("_kind"))).rowsBetween(0, Window.unboundedFollowing))
+    # Backwards, as a window that reaches to the end of a run would be gone through again for each row.
+    ahead = F.last("_point", True).over(Window.partitionBy(*key, "_run").orderBy(F.desc("_x"), F.abs("_kind")).rowsBetween(Window.unboundedPreceding, 0))
     both = both.withColumn("_a", back).withColumn("_b", ahead).where("_kind <> 0")
     gone = F.col("_x") - F.col("_a._s")
     share = F.coalesce(gone / F.nullif(F.col("_b._s") - F.col("_a._s"), F.lit(0.0)), F.lit(0.0))

@@ -118,3 +118,9 @@ def test_runs_are_bits_of_a_block_not_lists_to_search(spark):
     out = lines.in_runs(ids, asked, "id")
     assert {r.id for r in out.where("held").collect()} == {-65, -64, -1, 0, 63, 64, 9007199254740993} and out.where("held is null").isEmpty()
     assert "collect_list" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_smoothing_goes_through_a_run_once(spark):
+    df = spark.createDataFrame([(0, 1.0, 2.0)], "k int, s double, z double")
+    plan = lines.smoothed(df, ["k"], "s", "z", 4.0)._jdf.queryExecution().optimizedPlan().toString()
+    assert "currentrow$(), unboundedfollowing$()" not in plan and "RepartitionByExpression" in plan
