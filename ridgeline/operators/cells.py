@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.store import cut
-from .graph import components
+from ..functions.store import cut, drop, written
+from .graph import components, tasks
 
 #: Edges of a task, on average.
 TASK_EDGES = 1_000_000
@@ -43,13 +43,15 @@ def cell_components(edges: DataFrame, cell: Column, task_edges: int = TASK_EDGES
     holds the nodes of its edges.
     """
     e = edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), cell.alias("cell")).where("src <> dst")
-    e = cut(e.distinct())
-    tasks = max(1, math.ceil(e.count() / task_edges))
-    forest = cut(e.repartitionByRange(tasks, "cell", "src").select("src", "dst").mapInArrow(_forest, "node long, root long"))
-    nodes = cut(forest.groupBy("node").agg(F.min("root").alias("root"), F.max("root").alias("other"), F.count("*").alias("tasks")))
+    e = written(e)
+    forest = written(e.repartitionByRange(max(1, math.ceil(e.count() / task_edges)), "cell", "src").select("src", "dst").mapInArrow(_forest, "node long, root long"))
+    drop(e)
+    held = forest.repartition(tasks(forest), "node").hint("merge")
+    nodes = cut(held.groupBy("node").agg(F.min("root").alias("root"), F.max("root").alias("other")))
     seams = nodes.where("root <> other").select("node", F.col("root").alias("low"))
-    links = forest.join(seams, "node").where("root <> low").select(F.col("root").alias("src"), F.col("low").alias("dst"))
+    links = held.join(seams, "node").where("root <> low").select(F.col("root").alias("src"), F.col("low").alias("dst"))
     named = components(links).withColumnRenamed("node", "root")
+    drop(forest)
     return nodes.select("node", "root").join(named, "root", "left").select("node", F.coalesce("component", "root").alias("component"))
 
 
