@@ -20,14 +20,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import pieces
+from ._store import give_back, pieces
 
-#: Tokens that a round packs together, and the words whose ids a worker remembers.
-ROUND, REMEMBERED = 1 << 20, 700_000
+#: Tokens that a round packs together, the words whose ids a worker remembers, and those whose ids it joins at once.
+ROUND, REMEMBERED, BLOCK = 1 << 20, 700_000, 1 << 17
 #: Bytes of text, and four for each row, that a task has at least, on average: some 500 sequences, of which one is padded.
 TASK_BYTES = 4 << 20
 END = np.array([1], "<u4").tobytes()
@@ -43,6 +44,54 @@ def _kind(letter: str) -> str:
     return re.escape("".join(c for c in _plain() if unicodedata.category(c)[0] == letter))
 
 
+class Known:
+    """Strings and the ids of each, in a few Arrow and numpy arrays: some 45 bytes a word, which a dict takes many times.
+
+    A word is found by its hash, in order of which the numbers of words lie, and then compared itself.
+    """
+
+    def __init__(self):
+        self.words = pa.array([], pa.string())
+        self.hashes, self.numbers = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.ends = np.zeros(1, np.int64)
+        self.ids = np.zeros(0, "<u4")
+
+    def find(self, words: list[str]) -> np.ndarray:
+        """The number of each word, -1 where it is unknown."""
+        if not len(self.words):
+            return np.full(len(words), -1)
+        at = np.searchsorted(self.hashes, np.fromiter(map(hash, words), np.int64, len(words)))
+        number = self.numbers[np.minimum(at, len(self.hashes) - 1)]
+        same = pc.equal(self.words.take(pa.array(number)), pa.array(words, pa.string()))
+        return np.where(same.to_numpy(zero_copy_only=False), number, -1)
+
+    def get(self, n: int) -> bytes:
+        return self.ids[self.ends[n] : self.ends[n + 1]].tobytes()
+
+    def add(self, words: dict[str, bytes]) -> None:
+        """Remember the ids of words that are not known; they are numbered on in their order."""
+        size = np.fromiter((len(x) // 4 for x in words.values()), np.int64, len(words))
+        key = np.fromiter(map(hash, words), np.int64, len(words))
+        order = np.argsort(key)
+        at = np.searchsorted(self.hashes, key[order])
+        self.hashes = np.insert(self.hashes, at, key[order])
+        self.numbers = np.insert(self.numbers, at, order + len(self.words))
+        self.words = pa.concat_arrays([self.words, pa.array(list(words), pa.string())])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(size)])
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(words.values()), "<u4")])
+
+    def joined(self, at: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The ids of words by their numbers, in a row, and where each begins and the last ends."""
+        size = self.ends[at + 1] - self.ends[at]
+        stop = np.concatenate([np.zeros(1, np.int64), np.cumsum(size)])
+        parts = []
+        for n in range(0, len(at), BLOCK):
+            some, length = at[n : n + BLOCK], size[n : n + BLOCK]
+            shift = np.repeat(self.ends[some] - stop[n : n + len(some)], length)
+            parts.append(self.ids[np.arange(stop[n], stop[n] + len(shift)) + shift].tobytes())
+        return b"".join(parts), stop
+
+
 class WordTokenizer:
     """Ids of whole texts by the tokenizer file, with the ids of words remembered.
 
@@ -56,8 +105,7 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-        self.seen: dict[str, bytes] = {}
+        self.known = Known()
         white = r"\t\n\x0b\x0c\r "
         self.simple = re.compile(f"[{white}{re.escape(_plain())}]*").fullmatch
         letters, numbers = _kind("L"), _kind("N")
@@ -68,8 +116,9 @@ class WordTokenizer:
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, words: list[str]) -> None:
-        """Remember the ids of pre-tokens."""
+    def learn(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of pre-tokens."""
+        out: dict[str, bytes] = {}
         for n in range(0, len(words), 4000):
             some = words[n : n + 4000]
             got = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
@@ -77,26 +126,40 @@ class WordTokenizer:
             if len(word) and np.array_equal(np.unique(word), np.arange(len(some))):
                 raw = np.array(got.ids, "<u4").tobytes()
                 at = (np.searchsorted(word, np.arange(len(some) + 1)) * 4).tolist()
-                self.known.update((w, raw[i:j]) for w, i, j in zip(some, at, at[1:]))
+                out.update((w, raw[i:j]) for w, i, j in zip(some, at, at[1:]))
             else:
-                self.known.update((w, self.whole(w)) for w in some)
+                out.update((w, self.whole(w)) for w in some)
+        return out
 
-    def meet(self, words: set[str]) -> None:
-        """Remember the ids of words, as written between white space."""
-        known = self.known
-        cut = list(zip(words, map(self.words, words)))
-        self.learn(list({x for _, pre in cut for x in pre}.difference(known)))
-        self.seen.update((w, known[pre[0]] if len(pre) == 1 else b"".join([known[x] for x in pre])) for w, pre in cut)
+    def meet(self, words: list[str]) -> np.ndarray:
+        """The numbers of distinct words, as written between white space; new ones are remembered, with their pre-tokens."""
+        known, at = self.known, self.known.find(words)
+        new = [words[n] for n in np.flatnonzero(at < 0)]
+        if new:
+            cut = list(map(self.words, new))
+            parts = list({x for pre in cut for x in pre})
+            there = known.find(parts).tolist()
+            ids = {x: known.get(n) for x, n in zip(parts, there) if n >= 0}
+            more = self.learn([x for x, n in zip(parts, there) if n < 0])
+            ids |= more
+            # A word of one pre-token is among these.
+            more |= {w: b"".join([ids[x] for x in pre]) for w, pre in zip(new, cut) if len(pre) != 1}
+            number = dict(zip(more, range(len(known.words), len(known.words) + len(more))))
+            known.add(more)
+            at[at < 0] = [number[w] for w in new]
+        return at
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.seen) > REMEMBERED:
-            self.seen.clear()
-            self.known.clear()
-        cut = [t.lower().split() if self.simple(t) and "<|" not in t else None for t in texts]
-        self.meet(set().union(*(words for words in cut if words)).difference(self.seen))
-        ids = self.seen.__getitem__
-        return [self.whole(t) if words is None else b"".join(map(ids, words)) for t, words in zip(texts, cut)]
+        if len(self.known.words) > REMEMBERED:
+            self.known = Known()
+        simple = [bool(self.simple(t)) and "<|" not in t for t in texts]
+        rows = pc.ascii_split_whitespace(pa.array([t.lower() for t, s in zip(texts, simple) if s], pa.string()))
+        words = rows.values.dictionary_encode()
+        raw, stop = self.known.joined(self.meet(words.dictionary.to_pylist())[words.indices.to_numpy()])
+        at = (stop[rows.offsets.to_numpy()] * 4).tolist()
+        cut = iter(zip(at, at[1:]))
+        return [raw[slice(*next(cut))] if s else self.whole(t) for t, s in zip(texts, simple)]
 
 
 _workers: dict[str, WordTokenizer] = {}
@@ -182,6 +245,8 @@ def _packed(path: str, capacity: int):
             for doc, ids in zip(docs, tok.encode([t or "" for t in texts])):
                 packer.add(doc, ids + END)
             yield table(packer.taken())
+            # Small objects between those that stay would hold some 100 MB by the task's end.
+            give_back()
         if packer.left:
             packer.round(packer.left // capacity)
         if packer.left:

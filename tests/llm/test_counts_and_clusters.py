@@ -1,12 +1,15 @@
 """Token counts, spelling variants and centroid clusters against the library and brute force."""
 
 import collections
+import gc
 import hashlib
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -203,3 +206,27 @@ def test_links_are_those_of_href_outside_comments_and_scripts(spark):
     rows = warc.derive(warc.responses(spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string"))).collect()
     block = {r.warc_type: r.block for r in rows}["metadata"]
     assert "outlinks: 2\r\n" in block and block.endswith("outlink: y\r\noutlink: z\r\n") and block.count("outlink:") == 2
+
+
+def test_packing_remembers_words_in_few_bytes():
+    def held():
+        gc.collect()
+        return tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes()
+
+    tok = packing.WordTokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    made = [f"Wo{n:x}rt{n % 977}, it's '{n}'" for n in range(40_000)]
+    texts = [" ".join(made[n : n + 1000]) for n in range(0, len(made), 1000)]
+    odd = ["", " ", "\t a  b\n", "ends here ", "naïve — “quoted”…", "日本 and <|endoftext|> it's", "''s 's'' re's"]
+    tracemalloc.start()
+    try:
+        before = held()
+        for n in range(0, len(texts), 10):
+            tok.encode(texts[n : n + 10])
+        after = held()
+    finally:
+        tracemalloc.stop()
+    # Some 80,000 words and parts of words take 5 MB; dicts of them took 12 MB.
+    assert after - before < 8e6
+    for t, ids in zip(odd + texts[:3], tok.encode(odd + texts[:3])):
+        assert np.frombuffer(ids, "<u4").tolist() == tok.tokenizer.encode(t, add_special_tokens=False).ids
+    assert tok.encode([]) == [] and tok.encode(["", "日"])[0] == b""
