@@ -3,6 +3,8 @@
 import random
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from ridgeline.operators import graph, reach
@@ -52,3 +54,22 @@ def test_null_ids_and_names_go_row_by_row(spark):
     assert graph.closure(edges.where("src > 5"), seeds, 2).collect() == [(5, 1, 0)]
     assert graph.closure(edges.where("dst = 2"), seeds.where("root > 5"), 2).collect() == []
     assert [tuple(r) for r in graph.closure(edges, seeds, 0).collect()] == [(5, 1, 0)]
+
+
+def test_merging_holds_few_nodes_at_once(monkeypatch):
+    for name, n in (("PACK", 3), ("OUT", 4), ("HELD", 5)):
+        monkeypatch.setattr(reach, name, n)
+    r, base, width = random.Random(2), -70_000, 3
+    rows, want = [], {}
+    for root, piece in ((1, 0), (1, 1), (2, 0), (7, 3)):
+        known, offers = [{r.randrange(base, 70_000) // 9 * 9 for _ in range(k)} for k in (root * 3 - 3, 40)]
+        offers |= set(list(known)[:2])
+        want[root] = want.get(root, set()) | offers - known
+        rows += [(root, piece, reach.packed(np.array(x) - base, width).tobytes(), old) for old, all_ in ((True, known), (False, offers)) for x in ([*all_][k::6] for k in range(6)) if x]
+        rows += rows[-1:]
+    kinds = pa.int64(), pa.int32(), pa.binary(), pa.bool_()
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 5]), kinds)], ["root", "piece", "nodes", "known"]) for k in range(0, len(rows), 5)]
+    state = list(reach._merged(base, width, False)(iter(batches)))
+    for out in (reach._merged(base, width, True)(iter(batches)), reach._unpack(base, width)(b.select(["root", "nodes"]) for b in state)):
+        got = [x for b in out for x in zip(*(c.to_pylist() for c in b.columns))]
+        assert sorted(got) == sorted((root, n) for root, all_ in want.items() for n in all_)
